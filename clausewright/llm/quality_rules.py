@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .spark_io import cut
+from .spark_io import cut, written
 from .textnum import slices, text_bytes, windows, word_hashes, word_spans
 
 ALPHA = 0.01
@@ -83,14 +83,17 @@ def text_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
 
+    own = text_col if text_col in keep else "__text"
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in slices(whole, "__text"):
+            for b in slices(whole, own):
                 rest = [c for c in b.schema.names if c != "__text"]
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), *(pa.array(x, pa.int64()) for x in count(b.column("__text")))], [*rest, *names])
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), *(pa.array(x, pa.int64()) for x in count(b.column(own)))], [*rest, *names])
 
-    rows = docs.select(id_col, *keep, F.col(text_col).alias("__text"))
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in (id_col, *keep))
+    kept = list(dict.fromkeys((id_col, *keep)))
+    rows = docs.select(*kept, *([F.col(text_col).alias("__text")] if own == "__text" else []))
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
     return rows.mapInArrow(run, ", ".join([kinds, *(f"{x} long" for x in names)]))
 
 
@@ -139,15 +142,43 @@ def adaptive_thresholds(rows: DataFrame, groups: list[str], bounds: dict[str, tu
     return q.groupBy(*groups).agg(*(F.max(F.when(F.col("metric") == m, F.least(F.lit(top), F.greatest(F.lit(low), limit)))).alias(f"max_{m}") for m, (low, top) in bounds.items()))
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """The statistics of every row, its base_failed and its kept."""
-    groups = ["lang", "source"]
-    stats = text_stats(docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), F.col(text_col).alias("text")), "id", "text", ("lang", "source"))
-    rows = cut(with_ratios(stats))
-    base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    limits = adaptive_thresholds(rows.where(~base), groups).withColumnsRenamed({"lang": "t_lang", "source": "t_source"})
-    joined = rows.join(limits, F.col("lang").eqNullSafe(F.col("t_lang")) & F.col("source").eqNullSafe(F.col("t_source")), "left")
+def _named(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str, all_columns: bool) -> DataFrame:
+    """The columns that the rules read under fixed names, and all others as c0, c1 and so on."""
+    read = {id_col: "id", text_col: "text", lang_col: "lang", source_col: "source"}
+    return docs.select(*(F.col(f"`{c}`").alias(n) for c, n in read.items()), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if all_columns and c not in read))
+
+
+def base_failed() -> Column:
+    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+
+
+def _limits(rows: DataFrame) -> DataFrame:
+    return adaptive_thresholds(rows.where(~base_failed()), ["lang", "source"]).withColumnsRenamed({"lang": "t_lang", "source": "t_source"})
+
+
+def _joined(rows: DataFrame, limits: DataFrame) -> DataFrame:
     fits = F.lit(True)
     for m in BOUNDS:
         fits = fits & F.coalesce(F.col(m) <= F.col(f"max_{m}"), F.lit(True))
-    return joined.withColumn("base_failed", base).withColumn("kept", ~F.col("base_failed") & fits).select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *BOUNDS, *(f"max_{m}" for m in BOUNDS))
+    both = rows.join(limits, F.col("lang").eqNullSafe(F.col("t_lang")) & F.col("source").eqNullSafe(F.col("t_source")), "left")
+    return both.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & fits)
+
+
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """The statistics of every row, its base_failed and its kept."""
+    rows = cut(with_ratios(text_stats(_named(docs, id_col, text_col, lang_col, source_col, False), "id", "text", ("lang", "source"))))
+    return _joined(rows, _limits(rows)).select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *BOUNDS, *(f"max_{m}" for m in BOUNDS))
+
+
+def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with all their columns.
+
+    Texts are read twice, once for the thresholds and once to judge, and never shuffled;
+    the thresholds are a written table, so that their size is known when they are joined.
+    """
+    few = _named(docs, id_col, text_col, lang_col, source_col, False)
+    limits = written(_limits(with_ratios(text_stats(few, "id", "text", ("lang", "source")))))
+    every = _named(docs, id_col, text_col, lang_col, source_col, True)
+    judged = _joined(with_ratios(text_stats(every, "id", "text", tuple(every.columns))), limits)
+    read = {id_col: "id", text_col: "text", lang_col: "lang", source_col: "source"}
+    return judged.where("kept").select(*(F.col(read.get(c, f"c{i}")).alias(c) for i, c in enumerate(docs.columns)))

@@ -27,23 +27,29 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(_table(spark, sf_dir, "documents"))
 
 
+def _held(column: str):
+    return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
+def classifier(spark: SparkSession, sf_dir: str):
+    """Learns from labelled rows whose crc32(doc_id) mod 3 is not 1."""
+    return quality_classifier.train(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), ~_held("doc_id"))
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores every document; rows whose crc32(doc_id) mod 3 is 1 are held out from learning."""
-    docs = _table(spark, sf_dir, "documents")
-    held = lambda c: F.coalesce(F.crc32(F.col(c).cast("string").cast("binary")) % 3 == 1, F.lit(False))
-    model = quality_classifier.train(docs, _table(spark, sf_dir, "labels"), ~held("doc_id"))
-    return quality_classifier.score(docs, model).select("doc_id", held("doc_id").alias("held_out"), "score", "predicted")
+    scored = quality_classifier.score(_table(spark, sf_dir, "documents"), classifier(spark, sf_dir))
+    return scored.select("doc_id", _held("doc_id").alias("held_out"), "score", "predicted")
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge(_table(spark, sf_dir, "pages"))
+    return url_filter.judge(_table(spark, sf_dir, "pages")).drop("score")
 
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
     talks = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
-    return chat_format.digests(chat_format.expand(talks))
+    return chat_format.digests(chat_format.expand(talks)).drop("n_examples")
 
 
 def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +69,8 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.judge(_table(spark, sf_dir, "documents"))
+    judged = quality_rules.judge(_table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,24 +7,25 @@ expected copies are its source's target over its source's words, times its relat
 weight where a weight column is given. Whole copies are certain. For the fraction p that
 is left, documents are ranked by u / (1 - u) over p / (1 - p), u being a hash of the seed
 and the id, and taken in that order while at least half of the document fits into the
-words that the whole copies leave of the target.
+words that the whole copies leave of the target; the rank of the last one taken is all
+that a source's documents need to be told.
 
 The ranking of a source is never brought together: ranks are dealt into buckets of about
 ``BUCKET`` rows, bucket sums are added up per source, and only rows within a bucket are
 ordered.
 
 Defined results: null text has size 0; null source is a source; sources without words
-have target 0; a document of size 0 takes 0; repeated ids get the same rank and are
-ordered by size; an empty table gives an empty table; the same seed gives the same mix.
+have target 0; a document of size 0 takes 0; repeated ids have the same rank and are
+taken together; an empty table gives an empty table; the same seed gives the same mix.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .spark_io import cut
+from .spark_io import cut, written
 
 WEIGHTS = (1, 2, 3)
 CEILING = 3
@@ -48,40 +49,60 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     return per.select("source", "source_size", "n", "weight", F.coalesce(F.least(F.col("cap"), F.col("__level") * F.col("weight")), F.col("cap")).alias("target"))
 
 
-def mix(docs: DataFrame, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight_col: str | None = None) -> DataFrame:
-    """(id, source, size, source_size, target, copies, taken) for every row of ``docs``."""
+def _ranked(docs: DataFrame, seed: int, id_col: str, text_col: str, source_col: str, weight_col: str | None, rest: list[str]) -> DataFrame:
+    """id, source, size, u, relative weight and the ``rest`` of the columns."""
     u = (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     relative = F.greatest(F.coalesce(F.col(weight_col).cast("double"), F.lit(1.0)), F.lit(0.0)) if weight_col else F.lit(1.0)
-    rows = cut(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), u.alias("u"), relative.alias("relative")))
-    targets = source_targets(rows.select("source", "size"))
-    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
-    if weight_col:
-        mean = rows.groupBy(F.col("source").alias("m_source")).agg((F.sum(F.col("size") * F.col("relative")) / F.sum("size")).alias("mean"))
-        targets = targets.join(mean, same("source", "m_source")).drop("m_source")
-    else:
-        targets = targets.withColumn("mean", F.lit(1.0))
-    targets = targets.withColumnRenamed("source", "t_source")
+    return docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), u.alias("u"), relative.alias("relative"), *rest)
+
+
+def _placed(rows: DataFrame, targets: DataFrame) -> DataFrame:
+    """Whole copies and rank, null where no fraction is left, of every row."""
     copies = F.least(F.lit(float(CEILING)), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size") * F.col("relative") / F.when(F.col("mean") > 0, F.col("mean"))))
     p, q = F.col("part"), F.col("source_part")
-    ranked = (
-        rows.join(targets, same("source", "t_source"))
+    return (
+        rows.join(targets.withColumnRenamed("source", "t_source"), F.col("source").eqNullSafe(F.col("t_source")))
         .withColumn("expected", F.coalesce(copies, F.lit(0.0)))
         .withColumns({"whole": F.floor("expected"), "part": F.col("expected") - F.floor("expected"), "source_part": F.pmod(F.col("target") / F.when(F.col("source_size") > 0, F.col("source_size")), F.lit(1.0))})
         .withColumn("odds", F.when((p > 0) & (q > 0), F.col("u") / (1 - F.col("u")) * (q / (1 - q)) / (p / (1 - p))))
         .withColumn("rank", F.col("odds") / (1 + F.col("odds")))
-        .withColumn("bucket", F.floor(F.col("rank") * F.ceil(F.col("n") / BUCKET)))
-        .select("id", "source", "size", "source_size", "target", "whole", "rank", "bucket")
+        .drop("t_source", "expected", "part", "source_part", "odds")
     )
-    ranked = cut(ranked)
+
+
+def plan(docs: DataFrame, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight_col: str | None = None) -> DataFrame:
+    """(source, source_size, n, weight, target, mean, last): one row per source; documents ranked up to ``last`` are taken once more."""
+    rows = cut(_ranked(docs, seed, id_col, text_col, source_col, weight_col, []))
+    targets = source_targets(rows.select("source", "size"))
+    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
+    mean = rows.groupBy(F.col("source").alias("m_source")).agg(F.coalesce(F.sum(F.col("size") * F.col("relative")) / F.sum("size"), F.lit(1.0)).alias("mean"))
+    targets = written(targets.join(mean, same("source", "m_source")).drop("m_source"))
+    ranked = cut(_placed(rows, targets).withColumn("bucket", F.floor(F.col("rank") * F.ceil(F.col("n") / BUCKET))).select("id", "source", "size", "target", "whole", "rank", "bucket"))
     sums = ranked.groupBy("source", "bucket").agg(F.sum(F.when(F.col("rank").isNotNull(), F.col("size")).otherwise(0)).alias("sum"), F.sum(F.col("whole") * F.col("size")).alias("certain"))
     by = W.partitionBy("source")
     sums = sums.select(
-        F.col("source").alias("s_source"), F.col("bucket").alias("s_bucket"), F.coalesce(F.sum("sum").over(by.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("certain").over(by).alias("certain")
+        F.col("source").alias("s_source"), F.col("bucket").alias("s_bucket"), "sum", F.coalesce(F.sum("sum").over(by.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("certain").over(by).alias("certain")
     ).where(F.col("s_bucket").isNotNull())
     within = W.partitionBy("source", "bucket").orderBy("rank", "id", "size")
-    fits = F.col("before") + F.sum("size").over(within.rowsBetween(W.unboundedPreceding, 0)) - F.col("size") / 2 <= F.col("target") - F.col("certain")
-    # rows without a rank keep their whole copies and need no order
-    sampled = ranked.where("rank is not null").join(sums, same("source", "s_source") & (F.col("bucket") == F.col("s_bucket"))).withColumn("copies", F.col("whole") + fits.cast("long"))
-    out = sampled.select("id", "source", "size", "source_size", "target", "copies").unionByName(ranked.where("rank is null").select("id", "source", "size", "source_size", "target", F.col("whole").alias("copies")))
-    return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    room = F.col("target") - F.col("certain")
+    fits = F.col("before") + F.sum("size").over(within.rowsBetween(W.unboundedPreceding, 0)) - F.col("size") / 2 <= room
+    last = ranked.where("rank is not null").join(sums, same("source", "s_source") & (F.col("bucket") == F.col("s_bucket"))).withColumn("fits", fits).where("fits").groupBy(F.col("source").alias("l_source")).agg(F.max("rank").alias("last"))
+    return written(targets.join(last, same("source", "l_source"), "left").drop("l_source"))
+
+
+def _copies() -> Column:
+    return F.col("whole") + F.coalesce(F.col("rank") <= F.col("last"), F.lit(False)).cast("long")
+
+
+def mix(docs: DataFrame, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight_col: str | None = None) -> DataFrame:
+    """(id, source, size, source_size, target, copies, taken) for every row of ``docs``."""
+    rows = _placed(_ranked(docs, seed, id_col, text_col, source_col, weight_col, []), plan(docs, seed, id_col, text_col, source_col, weight_col)).withColumn("copies", _copies())
+    return rows.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def take(docs: DataFrame, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight_col: str | None = None) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it, with all their columns. Texts are not shuffled: what is joined to them is one row per source."""
+    packed = docs.select("*", F.struct("*").alias("__row"))
+    rows = _placed(_ranked(packed, seed, id_col, text_col, source_col, weight_col, ["__row"]), plan(docs, seed, id_col, text_col, source_col, weight_col)).withColumn("copies", _copies())
+    return rows.where("copies > 0").select("__row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("__row.*")

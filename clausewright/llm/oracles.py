@@ -85,7 +85,7 @@ FROM embeddings LEFT JOIN low ON a = vec_id LEFT JOIN n ON x = vec_id
 
 OP8 = rf"""
 WITH d AS (SELECT doc_id, source, len({_WORDS}) AS size, (('0x' || substr(md5('1:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u FROM documents),
-s AS (SELECT source, sum(size)::BIGINT AS source_size, [1.0, 2.0, 3.0]::DOUBLE[][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM d GROUP BY source),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, list_extract([1.0, 2.0, 3.0], (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS w FROM d GROUP BY source),
 o AS (SELECT *, 3.0::DOUBLE * source_size AS cap, sum(source_size) OVER ()::DOUBLE AS every, sum(w) OVER () AS all_w FROM s),
 b AS (SELECT *, row_number() OVER q AS pos, (every - coalesce(sum(cap) OVER (q ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / (all_w - coalesce(sum(w) OVER (q ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level
   FROM o WINDOW q AS (ORDER BY cap / w, source NULLS LAST)),

@@ -23,6 +23,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -122,12 +123,18 @@ class WordIds:
         return [b"".join(map(get, s)) for s in split]
 
 
+@lru_cache(maxsize=1)
+def word_ids(path: str) -> WordIds:
+    """One encoder per worker process, which its tasks share with what it knows already."""
+    return WordIds(path)
+
+
 def pieces(docs: DataFrame, tokenizer: str | Callable[[], str], capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every document, its ids followed by ``end_id``."""
     closing = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = WordIds(tokenizer() if callable(tokenizer) else tokenizer)
+        model = word_ids(tokenizer() if callable(tokenizer) else tokenizer)
         for whole in batches:
             for b in slices(whole, "text", 1 << 20):
                 rows: list[tuple] = []

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -82,7 +83,9 @@ class JsonLengths:
             self.known[p] = len(e)
 
 
+@lru_cache(maxsize=1)
 def lengths_for(path: str) -> PieceLengths | JsonLengths:
+    """One model per worker process, which its tasks share with what it knows already."""
     return PieceLengths(path) if path.endswith(".model") else JsonLengths(path)
 
 

@@ -15,8 +15,12 @@ are one node, named by a 64-bit hash of the set, before anything is paired.
    positional filter (what can still match behind the shingle) and the suffix filter
    (what can match range by range of the hash space); each pair is verified once.
 4. Links within a group of copies would be quadratic, while the answer is the component.
-   So two rounds first verify each node with one hub, the node of the smallest component
-   that shares most of its prefix; then only pairs of different components are paired.
+   So rounds come first, in which every shingle has one hub, at first the node with the
+   fewest shingles of its own, later any, and each node is verified with the hubs that
+   share most of its prefix. Rounds go on while the pairs of different components that
+   share a prefix shingle are more than ``FEW`` times the postings and still become
+   fewer. All pairs of different components that are left are then verified, so the
+   rounds save work and decide nothing.
 
 Sizes: a shard holds about the corpus's shingles over the number of shuffle partitions,
 which should grow with the corpus; a shingle costs a shard about 6 bytes per node.
@@ -34,6 +38,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .spark_io import connected_components, cut, shuffle_partitions, written
@@ -42,6 +47,7 @@ from .textnum import mix, shingle_sets, slices
 FLUSH = 2_000_000
 LOW = np.uint64((1 << 40) - 1)
 RANGES = 16
+ROUNDS, HUBS, FEW = 12, 2, 1.0
 _FIELDS = "part int, kind int, doc long, node long, n long, shard int, blob binary"
 _SCHEMA = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("doc", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("shard", pa.int32()), ("blob", pa.binary())])
 MEMBER, SIZE, BLOB = 0, 1, 2
@@ -212,42 +218,57 @@ def _verified(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFra
     return both.where(den * F.col("same") >= num * (F.col("n_a") + F.col("n_b") - F.col("same"))).select("a", "b")
 
 
+def _merged(comp: DataFrame, edges: DataFrame) -> DataFrame:
+    """Components (node, comp) after the links (a, b): only the components that links join are looked at again."""
+    of = lambda x: comp.select(F.col("node").alias(x), F.col("comp").alias(f"c{x}"))
+    links = edges.join(of("a"), "a").join(of("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    roots = connected_components(links).select(F.col("node").alias("comp"), "root")
+    return cut(comp.join(roots, "comp", "left").select("node", F.coalesce("root", "comp").alias("comp")))
+
+
 def components(nodes: DataFrame, num: int, den: int) -> DataFrame:
-    """(node, root) of the nodes that link with another."""
+    """(node, root) of all nodes; linked nodes share a root."""
     need = lambda n: F.ceil(n * num / den).cast("int")
     # a prefix is the first n - ceil(t n) + 1 shingles, of which the unshared n - size(tokens) come first
     head = F.slice("tokens", 1, F.size("tokens") - need(F.col("n")) + 1)
-    slim = written(nodes.select("node", F.posexplode(head).alias("pos", "token")))
-    edges = tried = cut(slim.where("false").select(F.col("node").alias("a"), F.col("node").alias("b")))
-    roots = None
-
-    def placed() -> DataFrame:
-        return slim.withColumn("comp", F.col("node")) if roots is None else slim.join(roots.withColumnRenamed("root", "__root"), "node", "left").select("token", "node", "pos", F.coalesce("__root", "node").alias("comp"))
-
-    for _ in range(2):
-        here = placed()
-        hubs = here.groupBy("token").agg(F.min(F.struct("comp", "node")).alias("hub"), F.max("comp").alias("most")).where("hub.comp < most").select("token", F.col("hub.node").alias("b"), F.col("hub.comp").alias("b_comp"))
-        near = here.join(hubs, "token").where("comp <> b_comp").groupBy("node", "b").agg(F.count("*").alias("c")).groupBy(F.col("node").alias("a")).agg(F.max(F.struct("c", "b")).alias("x")).select("a", "x.b")
-        near = cut(near.join(tried, ["a", "b"], "left_anti"))
-        tried = tried.unionAll(near)
-        edges = cut(edges.unionAll(_verified(near, nodes, num, den)))
-        roots = connected_components(edges)
-    here = placed()
-    open_ = here.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("token")
-    live = here.join(open_, "token").join(nodes.select("node", "n", F.size("tokens").alias("m")), "node")
+    slim = written(nodes.select("node", ((F.col("n") - F.size("tokens")) / F.col("n")).alias("alone"), F.posexplode(head).alias("pos", "token")))
+    size = slim.count()
+    comp = cut(nodes.select("node", F.col("node").alias("comp")))
+    tried = cut(slim.where("false").select(F.col("node").alias("a"), F.col("node").alias("b")))
+    before, idle = None, 0
+    for turn in range(ROUNDS):
+        here = slim.join(comp, "node")
+        load = here.groupBy("token", "comp").agg(F.count("*").alias("c"))
+        mixed = cut(load.groupBy("token").agg(F.sum("c").alias("t"), F.sum(F.col("c") * F.col("c")).alias("q")).where("t * t > q").select("token", ((F.col("t") * F.col("t") - F.col("q")) / 2).alias("cross")))
+        cross = mixed.agg(F.coalesce(F.sum("cross"), F.lit(0.0))).head()[0]
+        idle = idle + 1 if before is not None and cross > 0.9 * before else 0
+        if cross <= FEW * size or idle >= 3:
+            break
+        before = cross
+        # first the node that has least of its own, then any
+        order = F.struct("alone", "node") if turn == 0 else F.struct(F.xxhash64("node", "token", F.lit(turn)), "node")
+        live = here.join(mixed.select("token"), "token")
+        hubs = live.groupBy("token").agg(F.min_by(F.struct("node", "comp"), order).alias("hub")).select("token", F.col("hub.node").alias("b"), F.col("hub.comp").alias("b_comp"))
+        near = live.join(hubs, "token").where("comp <> b_comp").groupBy("node", "b").agg(F.count("*").alias("c"))
+        near = near.withColumn("rn", F.row_number().over(W.partitionBy("node").orderBy(F.desc("c"), "b"))).where(F.col("rn") <= HUBS)
+        pairs = near.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
+        pairs = cut(pairs.join(tried, ["a", "b"], "left_anti"))
+        tried = tried.unionAll(pairs)
+        comp = _merged(comp, _verified(pairs, nodes, num, den))
+    here = slim.join(comp, "node")
+    mixed = here.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("token")
+    live = here.join(mixed, "token").join(nodes.select("node", "n", F.size("tokens").alias("m")), "node")
     x = live.select("token", *(F.col(c).alias(f"x_{c}") for c in ("node", "pos", "comp", "n", "m")))
     y = live.select("token", *(F.col(c).alias(f"y_{c}") for c in ("node", "pos", "comp", "n", "m")))
     alpha = F.ceil((F.col("x_n") + F.col("y_n")) * num / (num + den))
-    length = (den * F.least("x_n", "y_n") >= num * F.greatest("x_n", "y_n"))
+    length = den * F.least("x_n", "y_n") >= num * F.greatest("x_n", "y_n")
     # what stands behind this shingle in each, and the shingles before it in the shorter part
     position = F.least(F.col("x_m") - F.col("x_pos"), F.col("y_m") - F.col("y_pos")) + F.least("x_pos", "y_pos") >= alpha
     pairs = x.join(y, "token").where((F.col("x_comp") < F.col("y_comp")) & length & position).select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b"), alpha.alias("alpha")).distinct()
-    done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     sig = lambda s: nodes.select(F.col("node").alias(s), F.col("ranges").alias(f"r_{s}"))
     suffix = F.aggregate(F.zip_with("r_a", "r_b", lambda p, q: F.least(p, q)), F.lit(0), lambda s, v: s + v) >= F.col("alpha")
-    pairs = cut(pairs.join(done, ["a", "b"], "left_anti").join(sig("a"), "a").join(sig("b"), "b").where(suffix).select("a", "b"))
-    edges = edges.unionAll(_verified(pairs, nodes, num, den))
-    return connected_components(edges)
+    pairs = cut(pairs.join(tried, ["a", "b"], "left_anti").join(sig("a"), "a").join(sig("b"), "b").where(suffix).select("a", "b"))
+    return _merged(comp, _verified(pairs, nodes, num, den)).withColumnRenamed("comp", "root")
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 3, den: int = 4) -> DataFrame:

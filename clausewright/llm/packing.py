@@ -156,10 +156,10 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
     where, offset, bins = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64), 0
     for i in np.argsort(-lengths, kind="stable"):
         s = int(lengths[i])
-        # moving a bin from gap g to g - s adds 2 (count[g - s] - count[g]) + 2; a full bin leaves the count
-        after = count[: capacity - s + 1].copy()
-        after[0] = -1
-        cost = np.where(count[s:] > 0, 2 * (after - count[s:]) + 2, np.iinfo(np.int64).max)
+        # moving a bin from gap g to g - s adds 2 (count[g - s] - count[g]) + 2; one that fills leaves the count and adds 1 - 2 count[s]
+        cost = np.where(count[s:] > 0, 2 * (count[: capacity - s + 1] - count[s:]) + 2, np.iinfo(np.int64).max)
+        if count[s]:
+            cost[0] = 1 - 2 * count[s]
         g = int(cost.argmin()) + s
         fresh = 2 * int(count[capacity - s]) + 1 if s < capacity else 0
         if count[g] == 0 or fresh < cost[g - s]:

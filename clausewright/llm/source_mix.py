@@ -76,7 +76,7 @@ def plan(docs: DataFrame, seed: int = 1, id_col: str = "doc_id", text_col: str =
     rows = cut(_ranked(docs, seed, id_col, text_col, source_col, weight_col, []))
     targets = source_targets(rows.select("source", "size"))
     same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
-    mean = rows.groupBy(F.col("source").alias("m_source")).agg(F.coalesce(F.sum(F.col("size") * F.col("relative")) / F.sum("size"), F.lit(1.0)).alias("mean"))
+    mean = rows.groupBy(F.col("source").alias("m_source")).agg(F.when(F.sum("size") > 0, F.sum(F.col("size") * F.col("relative")) / F.sum("size")).otherwise(1.0).alias("mean"))
     targets = written(targets.join(mean, same("source", "m_source")).drop("m_source"))
     ranked = cut(_placed(rows, targets).withColumn("bucket", F.floor(F.col("rank") * F.ceil(F.col("n") / BUCKET))).select("id", "source", "size", "target", "whole", "rank", "bucket"))
     sums = ranked.groupBy("source", "bucket").agg(F.sum(F.when(F.col("rank").isNotNull(), F.col("size")).otherwise(0)).alias("sum"), F.sum(F.col("whole") * F.col("size")).alias("certain"))

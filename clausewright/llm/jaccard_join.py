@@ -13,7 +13,9 @@ are one node, named by a 64-bit hash of the set, before anything is paired.
 3. Pairs. The prefix of a profile, less its unshared part, is posted by shingle. Nodes
    that share a prefix shingle are candidates if they pass the length filter, the
    positional filter (what can still match behind the shingle) and the suffix filter
-   (what can match range by range of the hash space); each pair is verified once.
+   (shingles of one that cannot be in the other, by the marks that they leave in bitmaps
+   of ``MARKS`` words). Nodes meet by shingle and size class, within the sizes that
+   their shared shingles allow; each pair is verified once.
 4. Links within a group of copies would be quadratic, while the answer is the component.
    So rounds come first, in which every shingle has one hub, at first the node with the
    fewest shingles of its own, later any, and each node is verified with the hubs that
@@ -33,11 +35,13 @@ through others; an empty table gives an empty table; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -46,8 +50,9 @@ from .textnum import mix, shingle_sets, slices
 
 FLUSH = 2_000_000
 LOW = np.uint64((1 << 40) - 1)
-RANGES = 16
-ROUNDS, HUBS, FEW = 12, 2, 1.0
+MARKS = 16
+CLASS = 1.03
+ROUNDS, HUBS, FEW = 12, 1, 1.0
 _FIELDS = "part int, kind int, doc long, node long, n long, shard int, blob binary"
 _SCHEMA = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("doc", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("shard", pa.int32()), ("blob", pa.binary())])
 MEMBER, SIZE, BLOB = 0, 1, 2
@@ -163,7 +168,7 @@ def _shards(parts: int):
     return run
 
 
-_PROFILE = pa.schema([("kind", pa.int32()), ("doc", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("tokens", pa.list_(pa.int64())), ("ranges", pa.list_(pa.int32()))])
+_PROFILE = pa.schema([("kind", pa.int32()), ("doc", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("tokens", pa.list_(pa.int64())), ("marks", pa.list_(pa.int64()))])
 
 
 def _profiles(num: int, den: int):
@@ -173,7 +178,7 @@ def _profiles(num: int, den: int):
         for b in batches:
             kind = b.column("kind").to_numpy()
             if (own := b.filter(pa.array(kind == MEMBER))).num_rows:
-                yield pa.RecordBatch.from_arrays([own.column("kind"), own.column("doc"), own.column("node"), own.column("n"), pa.nulls(own.num_rows, pa.list_(pa.int64())), pa.nulls(own.num_rows, pa.list_(pa.int32()))], schema=_PROFILE)
+                yield pa.RecordBatch.from_arrays([own.column("kind"), own.column("doc"), own.column("node"), own.column("n"), pa.nulls(own.num_rows, pa.list_(pa.int64())), pa.nulls(own.num_rows, pa.list_(pa.int64()))], schema=_PROFILE)
             own = b.filter(pa.array(kind == SIZE))
             sizes.append((own.column("node").to_numpy().view(np.uint64), own.column("n").to_numpy()))
             own = b.filter(pa.array(kind == BLOB))
@@ -193,11 +198,14 @@ def _profiles(num: int, den: int):
         order = np.lexsort((tokens, level, which))
         tokens = tokens[order].view(np.int64)
         begin = np.concatenate([[0], np.cumsum(shared[keep])])
-        spread = np.bincount(np.repeat(np.arange(int(keep.sum())), shared[keep]) * RANGES + ((tokens >> 36) & (RANGES - 1)), minlength=RANGES * int(keep.sum())).astype(np.int32)
+        marks = np.zeros((int(keep.sum()), MARKS), np.uint64)
+        bit = mix(tokens.view(np.uint64)) % np.uint64(64 * MARKS)
+        np.bitwise_or.at(marks, (np.repeat(np.arange(len(marks)), shared[keep]), (bit >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (bit & np.uint64(63)))
+        marks = marks.view(np.int64).ravel()
         for a in range(0, int(keep.sum()), 500):
             m = min(500, int(keep.sum()) - a)
             lists = pa.ListArray.from_arrays(pa.array((begin[a : a + m + 1] - begin[a]).astype(np.int32)), pa.array(tokens[begin[a] : begin[a + m]]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(m, SIZE, np.int32)), pa.nulls(m, pa.int64()), pa.array(names[keep][a : a + m].view(np.int64)), pa.array(lengths[keep][a : a + m]), lists, pa.ListArray.from_arrays(pa.array(np.arange(0, RANGES * m + 1, RANGES, dtype=np.int32)), pa.array(spread[RANGES * a : RANGES * (a + m)]))], schema=_PROFILE)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(m, SIZE, np.int32)), pa.nulls(m, pa.int64()), pa.array(names[keep][a : a + m].view(np.int64)), pa.array(lengths[keep][a : a + m]), lists, pa.ListArray.from_arrays(pa.array(np.arange(0, MARKS * m + 1, MARKS, dtype=np.int32)), pa.array(marks[MARKS * a : MARKS * (a + m)]))], schema=_PROFILE)
 
     return run
 
@@ -208,7 +216,28 @@ def profiles(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den:
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     dealt = rows.mapInArrow(_deal(k, parts), _FIELDS).repartitionById(parts, "part")
     back = dealt.mapInArrow(_shards(parts), _FIELDS).repartitionById(parts, "part")
-    return written(back.mapInArrow(_profiles(num, den), "kind int, doc long, node long, n long, tokens array<long>, ranges array<int>"))
+    return written(back.mapInArrow(_profiles(num, den), "kind int, doc long, node long, n long, tokens array<long>, marks array<long>"))
+
+
+def _least(x: Column, y: Column, num: int, den: int) -> Column:
+    """What sets of these sizes must share to reach the threshold."""
+    return F.ceil((x + y) * num / (num + den))
+
+
+def _may_share(m: Column, marks: Column, other: Column) -> Column:
+    """An upper bound of what a node's m shared shingles can have in common with another's: each mark that the other lacks is one shingle or more that it lacks."""
+    lacking = F.lit(0)
+    for i in range(MARKS):
+        lacking = lacking + F.bit_count(marks[i].bitwiseAND(F.bitwise_not(other[i])))
+    return m - lacking
+
+
+def _bounded(x: str, y: str, num: int, den: int) -> Column:
+    """The length filter and the suffix filter on columns n, m and marks of two nodes."""
+    c = lambda s, name: F.col(f"{s}_{name}")
+    length = den * F.least(c(x, "n"), c(y, "n")) >= num * F.greatest(c(x, "n"), c(y, "n"))
+    share = F.least(_may_share(c(x, "m"), c(x, "marks"), c(y, "marks")), _may_share(c(y, "m"), c(y, "marks"), c(x, "marks")))
+    return length & (share >= _least(c(x, "n"), c(y, "n"), num, den))
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
@@ -227,8 +256,13 @@ def _merged(comp: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def components(nodes: DataFrame, num: int, den: int) -> DataFrame:
-    """(node, root) of all nodes; linked nodes share a root."""
+    """(node, root) of all nodes; linked nodes share a root.
+
+    The nodes are kept partitioned by name, so that what is joined to them moves and they do not.
+    """
+    nodes = nodes.withColumn("m", F.size("tokens")).repartition(shuffle_partitions(nodes.sparkSession), "node").persist(StorageLevel.MEMORY_AND_DISK)
     need = lambda n: F.ceil(n * num / den).cast("int")
+    small = lambda x: nodes.select(F.col("node").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in ("n", "m", "marks")))
     # a prefix is the first n - ceil(t n) + 1 shingles, of which the unshared n - size(tokens) come first
     head = F.slice("tokens", 1, F.size("tokens") - need(F.col("n")) + 1)
     slim = written(nodes.select("node", ((F.col("n") - F.size("tokens")) / F.col("n")).alias("alone"), F.posexplode(head).alias("pos", "token")))
@@ -242,7 +276,7 @@ def components(nodes: DataFrame, num: int, den: int) -> DataFrame:
         mixed = cut(load.groupBy("token").agg(F.sum("c").alias("t"), F.sum(F.col("c") * F.col("c")).alias("q")).where("t * t > q").select("token", ((F.col("t") * F.col("t") - F.col("q")) / 2).alias("cross")))
         cross = mixed.agg(F.coalesce(F.sum("cross"), F.lit(0.0))).head()[0]
         idle = idle + 1 if before is not None and cross > 0.9 * before else 0
-        if cross <= FEW * size or idle >= 3:
+        if cross <= FEW * size or idle >= 1:
             break
         before = cross
         # first the node that has least of its own, then any
@@ -252,30 +286,40 @@ def components(nodes: DataFrame, num: int, den: int) -> DataFrame:
         near = live.join(hubs, "token").where("comp <> b_comp").groupBy("node", "b").agg(F.count("*").alias("c"))
         near = near.withColumn("rn", F.row_number().over(W.partitionBy("node").orderBy(F.desc("c"), "b"))).where(F.col("rn") <= HUBS)
         pairs = near.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
-        pairs = cut(pairs.join(tried, ["a", "b"], "left_anti"))
+        pairs = cut(pairs.join(tried, ["a", "b"], "left_anti").join(small("a"), "a").join(small("b"), "b").where(_bounded("a", "b", num, den)).select("a", "b"))
         tried = tried.unionAll(pairs)
         comp = _merged(comp, _verified(pairs, nodes, num, den))
     here = slim.join(comp, "node")
-    mixed = here.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("token")
-    live = here.join(mixed, "token").join(nodes.select("node", "n", F.size("tokens").alias("m")), "node")
-    x = live.select("token", *(F.col(c).alias(f"x_{c}") for c in ("node", "pos", "comp", "n", "m")))
-    y = live.select("token", *(F.col(c).alias(f"y_{c}") for c in ("node", "pos", "comp", "n", "m")))
-    alpha = F.ceil((F.col("x_n") + F.col("y_n")) * num / (num + den))
-    length = den * F.least("x_n", "y_n") >= num * F.greatest("x_n", "y_n")
-    # what stands behind this shingle in each, and the shingles before it in the shorter part
-    position = F.least(F.col("x_m") - F.col("x_pos"), F.col("y_m") - F.col("y_pos")) + F.least("x_pos", "y_pos") >= alpha
-    pairs = x.join(y, "token").where((F.col("x_comp") < F.col("y_comp")) & length & position).select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b"), alpha.alias("alpha")).distinct()
-    sig = lambda s: nodes.select(F.col("node").alias(s), F.col("ranges").alias(f"r_{s}"))
-    suffix = F.aggregate(F.zip_with("r_a", "r_b", lambda p, q: F.least(p, q)), F.lit(0), lambda s, v: s + v) >= F.col("alpha")
-    pairs = cut(pairs.join(tried, ["a", "b"], "left_anti").join(sig("a"), "a").join(sig("b"), "b").where(suffix).select("a", "b"))
-    return _merged(comp, _verified(pairs, nodes, num, den)).withColumnRenamed("comp", "root")
+    load = here.groupBy("token", "comp").agg(F.count("*").alias("c"))
+    mixed = load.groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1").select("token", "main")
+    live = here.join(mixed, "token").join(nodes.select("node", "n", "m", "marks"), "node")
+    # the most that a partner's size may be, with no more in common than the m shared shingles
+    live = live.withColumn("most", F.floor(F.col("m") * (num + den) / num) - F.col("n")).drop("alone")
+    size_class = lambda n: F.floor(F.log(n) / math.log(CLASS)).cast("int")
+    index = live.withColumn("class", size_class(F.col("n")))
+    probe = live.withColumn("class", F.explode(F.sequence(size_class(need(F.col("n"))), size_class(F.greatest(F.lit(1), need(F.col("n")), F.least("n", "most"))))))
+    out_of_main = F.col("comp") != F.col("main")
+
+    def met(larger: DataFrame, smaller: DataFrame) -> DataFrame:
+        x, y = (d.select("token", "class", *(F.col(c).alias(f"{s}_{c}") for c in ("node", "pos", "comp", "n", "m", "marks", "most"))) for d, s in ((larger, "x"), (smaller, "y")))
+        sizes = (F.col("y_n") <= F.least("x_n", "x_most")) & (F.col("x_n") <= F.col("y_most"))
+        # what stands behind this shingle in each, and the shingles before it in the shorter part
+        position = F.least(F.col("x_m") - F.col("x_pos"), F.col("y_m") - F.col("y_pos")) + F.least("x_pos", "y_pos") >= _least(F.col("x_n"), F.col("y_n"), num, den)
+        return x.join(y, ["token", "class"]).where((F.col("x_comp") != F.col("y_comp")) & sizes & position & _bounded("x", "y", num, den)).select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b"))
+
+    # two nodes of a shingle's main component need not meet
+    pairs = met(probe.where(out_of_main), index).unionAll(met(probe, index.where(out_of_main))).distinct()
+    pairs = cut(pairs.join(tried, ["a", "b"], "left_anti"))
+    out = _merged(comp, _verified(pairs, nodes, num, den)).withColumnRenamed("comp", "root")
+    nodes.unpersist()
+    return out
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 3, den: int = 4) -> DataFrame:
     """(id, n_shingles, component_id) for every row; documents link at Jaccard similarity num / den or more."""
     rows = profiles(docs, id_col, text_col, k, num, den)
     members = rows.where(F.col("kind") == MEMBER).select("doc", "node", "n")
-    roots = components(rows.where(F.col("kind") == SIZE).select("node", "n", "tokens", "ranges"), num, den)
+    roots = components(rows.where(F.col("kind") == SIZE).select("node", "n", "tokens", "marks"), num, den)
     least = members.where("node is not null").groupBy("node").agg(F.min("doc").alias("low"))
     placed = least.join(roots, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
     named = placed.join(placed.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("node", "component_id")

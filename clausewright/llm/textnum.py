@@ -86,7 +86,7 @@ def windows(words: np.ndarray, k: int) -> np.ndarray:
 def shingle_sets(column: pa.Array, k: int, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct k-word shingle hashes of each text in turn, and where each text's begin (and the end).
 
-    A text with fewer than k words has its whole sequence as one shingle; one without words has none.
+    k is at most 50. A text with fewer than k words has its whole sequence as one shingle; one without words has none.
     """
     data, at = text_bytes(column)
     starts, ends, first = word_spans(data, at)
@@ -101,7 +101,7 @@ def shingle_sets(column: pa.Array, k: int, lower: bool = True) -> tuple[np.ndarr
         a, b = begin[i], begin[i + 1]
         if short[i]:
             w = words[first[i] : first[i + 1]]
-            out[a] = mix(np.array([(w * _PLACE[8 : 8 + len(w)]).sum() + np.uint64(1000 + len(w))], np.uint64))[0] if len(w) <= 50 else w.sum()
+            out[a] = mix(np.array([(w * _PLACE[8 : 8 + len(w)]).sum() + np.uint64(1000 + len(w))], np.uint64))[0]
         else:
             part = out[a:b]
             part[:] = runs[first[i] : first[i] + b - a]

@@ -275,13 +275,15 @@ def components(nodes: DataFrame, num: int, den: int) -> DataFrame:
         load = here.groupBy("token", "comp").agg(F.count("*").alias("c"))
         mixed = cut(load.groupBy("token").agg(F.sum("c").alias("t"), F.sum(F.col("c") * F.col("c")).alias("q")).where("t * t > q").select("token", ((F.col("t") * F.col("t") - F.col("q")) / 2).alias("cross")))
         cross = mixed.agg(F.coalesce(F.sum("cross"), F.lit(0.0))).head()[0]
+        # components only grow, so a shingle within one component is done with for good
+        live = written(here.join(mixed.select("token"), "token").select("token", "node", "pos", "alone", "comp"))
+        slim = live.drop("comp")
         idle = idle + 1 if before is not None and cross > 0.9 * before else 0
         if cross <= FEW * size or idle >= 1:
             break
         before = cross
         # first the node that has least of its own, then any
         order = F.struct("alone", "node") if turn == 0 else F.struct(F.xxhash64("node", "token", F.lit(turn)), "node")
-        live = here.join(mixed.select("token"), "token")
         hubs = live.groupBy("token").agg(F.min_by(F.struct("node", "comp"), order).alias("hub")).select("token", F.col("hub.node").alias("b"), F.col("hub.comp").alias("b_comp"))
         near = live.join(hubs, "token").where("comp <> b_comp").groupBy("node", "b").agg(F.count("*").alias("c"))
         near = near.withColumn("rn", F.row_number().over(W.partitionBy("node").orderBy(F.desc("c"), "b"))).where(F.col("rn") <= HUBS)

@@ -199,3 +199,21 @@ def results(groups: DataFrame, counts: DataFrame, risks: DataFrame) -> DataFrame
 
 def top_groups(groups: DataFrame, n: int = 3) -> DataFrame:
     return top_per_group(groups.drop("rank") if "rank" in groups.columns else groups, ["document"], ["position"], n)
+
+
+def run_reports(runs: DataFrame, gaps: DataFrame) -> DataFrame:
+    """(run_id, summary): what each run audited and found, by severity; runs without gaps say so.
+
+    ``runs`` has run_id, document and frameworks, ``gaps`` run_id and severity.
+    """
+    counts = severity_counts(gaps, ["run_id"])
+    out = runs.join(counts, "run_id", "left").na.fill(0, ["n_gaps", "n_critical", "n_high", "n_medium", "n_low"])
+    part = lambda s: F.when(F.col(f"n_{s}") > 0, F.concat_ws(" ", F.col(f"n_{s}").cast("string"), F.lit(s)))
+    found = F.concat(F.lit("Found "), F.col("n_gaps").cast("string"), F.when(F.col("n_gaps") == 1, " gap - ").otherwise(" gaps - "), F.concat_ws(", ", *map(part, ("critical", "high", "medium", "low"))), F.lit("."))
+    said = F.when(F.col("n_gaps") == 0, "No compliance gaps were identified for this query.").otherwise(found)
+    return out.select("run_id", F.concat(F.lit("Audited "), T.pseudonym(F.col("document")), F.lit(" against "), F.col("frameworks"), F.lit(". "), said).alias("summary"))
+
+
+def source_chunks(chunks: DataFrame, chars: int = 500) -> DataFrame:
+    """Chunks as an answer lists them: unknown document and page 0 where missing, and the first characters."""
+    return chunks.select(F.coalesce("paper_id", F.lit("unknown")).alias("paper_id"), F.coalesce(F.col("page").try_cast("int"), F.lit(0)).alias("page"), T.preview(F.coalesce("text", F.lit("")), chars).alias("text"))

@@ -101,3 +101,12 @@ def answers(questions: DataFrame, contexts: DataFrame, model: Model) -> DataFram
     """(query, answer, gaps, recommendations)."""
     asked = questions.join(contexts, "query", "left").withColumn("prompt", F.concat_ws("\n\n", "question", "context"))
     return infer(asked.select("query", "prompt"), "prompt", model).select("query", T.answer_fields(F.coalesce("output", F.lit(""))).alias("a")).select("query", "a.*")
+
+
+def jurisdictions(questions: DataFrame, model: Model | None = None) -> DataFrame:
+    """(query, jurisdictions): those that the words name; where a model is given, its list, with the words' as fallback."""
+    named = questions.withColumn("__words", T.detect_jurisdictions(F.col("question")))
+    if model is None:
+        return named.select("query", F.col("__words").alias("jurisdictions"))
+    out = infer(named.select("query", "question", "__words"), "question", model)
+    return out.select("query", T.normalize_jurisdictions(T.parsed_list(F.coalesce("output", F.lit("")), "string"), F.col("__words")).alias("jurisdictions"))

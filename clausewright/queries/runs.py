@@ -51,3 +51,18 @@ def framework_labels(spark, d):
 def loggable_runs(spark, d):
     r = views.runs(spark, d).select("run_id", F.when(F.col("run_id") % 2 == 0, F.array(F.lit("GDPR"))).otherwise(F.array().cast("array<string>")).alias("jurisdictions"), F.when(F.col("run_id") % 5 == 0, "which one?").alias("clarification"))
     return audit.loggable(r).select("run_id")
+
+
+@query(f"""WITH {views.RUNS}, g AS (SELECT e.event_id AS run_id, count(l_orderkey) AS n, count(*) FILTER (l_quantity > 45) AS c, count(*) FILTER (l_quantity > 30 AND l_quantity <= 45) AS h, count(*) FILTER (l_quantity > 15 AND l_quantity <= 30) AS m, count(*) FILTER (l_quantity <= 15) AS l FROM events e LEFT JOIN lineitem ON l_orderkey = event_id GROUP BY ALL)
+SELECT run_id, 'Audited ' || policy_name || ' against GDPR. ' || CASE WHEN n = 0 THEN 'No compliance gaps were identified for this query.' ELSE 'Found ' || n || CASE WHEN n = 1 THEN ' gap - ' ELSE ' gaps - ' END || concat_ws(', ', CASE WHEN c > 0 THEN c || ' critical' END, CASE WHEN h > 0 THEN h || ' high' END, CASE WHEN m > 0 THEN m || ' medium' END, CASE WHEN l > 0 THEN l || ' low' END) || '.' END AS summary FROM runs JOIN g USING (run_id)""")
+def run_reports(spark, d):
+    r = views.runs(spark, d).select("run_id", F.col("policy_name").alias("document"), F.lit("GDPR").alias("frameworks"))
+    q = F.col("l_quantity")
+    g = views.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("run_id"), F.when(q > 45, "critical").when(q > 30, "high").when(q > 15, "medium").otherwise("low").alias("severity"))
+    return audit.run_reports(r, g)
+
+
+@query("SELECT coalesce(CASE WHEN doc_id % 4 <> 0 THEN source END, 'unknown') AS paper_id, coalesce(try_cast(CASE WHEN doc_id % 3 = 0 THEN 'x' ELSE doc_id::VARCHAR END AS INT), 0) AS page, substr(text, 1, 500) AS text FROM documents")
+def source_chunks(spark, d):
+    x = views.table(spark, d, "documents").select(F.when(F.col("doc_id") % 4 != 0, F.col("source")).alias("paper_id"), F.when(F.col("doc_id") % 3 == 0, "x").otherwise(F.col("doc_id").cast("string")).alias("page"), "text")
+    return audit.source_chunks(x)

@@ -230,3 +230,10 @@ def test_upsert_keeps_old_values_where_new_are_null(spark):
     change = spark.createDataFrame([("a", "y", None, 2), ("a", "z", None, 1), ("", "q", "q", 1), ("c", "n", None, 1)], "k string, v string, w string, seq int")
     got = {r["k"]: (r["v"], r["w"]) for r in relational.upsert(base, change, ["k"], ["seq"]).collect()}
     assert got == {"a": ("z", "1"), "b": ("x", "2"), "c": ("n", None)}
+
+
+def test_jurisdictions_from_a_model(spark):
+    q = spark.createDataFrame([(1, "erasure under gdpr"), (2, "x")], "query long, question string")
+    got = {r["query"]: r["jurisdictions"] for r in model.jurisdictions(q, lambda p: ['["all"]' if x == "x" else "no list" for x in p]).collect()}
+    assert got == {1: ["GDPR"], 2: ["GDPR", "CCPA", "HIPAA", "NIST"]}
+    assert {r["query"]: r["jurisdictions"] for r in model.jurisdictions(q).collect()} == {1: ["GDPR"], 2: ["UNKNOWN"]}

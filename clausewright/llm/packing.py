@@ -36,7 +36,7 @@ from .textnum import slices
 
 GROUP = 50_000
 FULL = 0.97
-KEEP = 1_000_000
+KEEP = 400_000
 #: Letters of Latin-1 and ASCII signs, which are lower-cased one by one and composed already.
 _PLAIN = re.compile(r"(?!.*<\|)[!-~À-ÖØ-öø-ÿ]+")
 _CONTROL = re.compile("[\x1c-\x1f]")

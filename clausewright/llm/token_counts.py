@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .textnum import slices
 
 SPACE = "▁"
-KEEP = 1_500_000
+KEEP = 600_000
 CALL_BYTES = 1 << 18
 
 

@@ -3,11 +3,13 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from clausewright.functions import text as T
 from clausewright.operators import audit, chunking, graph, model, relational, search
+from clausewright.queries import QUERIES
 
 
 def one(spark, column, **values):
@@ -198,6 +200,39 @@ def test_communities_of_two_cliques(spark):
     assert graph.modularity(df, got) == pytest.approx(2 * (10 / 21 - (21 / 42) ** 2), abs=1e-6)
 
 
+def test_betweenness_of_a_long_path(spark):
+    n = 60
+    df = spark.createDataFrame([(f"n{i:02}", f"n{i + 1:02}") for i in range(n - 1)], "src string, dst string")
+    want = {f"n{i:02}": 2 * i * (n - 1 - i) / ((n - 1) * (n - 2)) for i in range(n)}
+    assert {r["node"]: r["betweenness"] for r in graph.betweenness(df).collect()} == pytest.approx(want)
+
+
+def test_betweenness_in_small_arrays(spark, monkeypatch):
+    _, df = random_graph(spark, 150, 400)
+    want = {r["node"]: r["betweenness"] for r in graph.betweenness(df, sources=10**9).collect()}
+    first, to = np.array([0, 2, 3, 5]), np.array([1, 2, 0, 0, 2])
+    monkeypatch.setattr(graph, "EDGE_CELLS", 3)
+    assert graph.over_neighbours(first, to, np.array([[1.0, 10], [2, 20], [4, 40]])).tolist() == [[6, 60], [1, 10], [5, 50]]
+    assert {r["node"]: r["betweenness"] for r in graph.betweenness(df).collect()} == pytest.approx(want)
+
+
+def test_pagerank_converges(spark):
+    e, df = random_graph(spark)
+    nodes = sorted({x for p in e for x in p})
+    out = {v: [b for a, b in e if a == v] for v in nodes}
+    want = dict.fromkeys(nodes, 1 / len(nodes))
+    for _ in range(300):
+        lost = sum(want[v] for v in nodes if not out[v])
+        want = {v: (0.15 + 0.85 * lost) / len(nodes) + 0.85 * sum(want[a] / len(out[a]) for a, b in e if b == v) for v in nodes}
+    assert {r["node"]: r["rank"] for r in graph.pagerank(df).collect()} == pytest.approx({f"n{v}": x for v, x in want.items()}, abs=1e-8)
+
+
+def test_graph_queries_have_all_nodes(spark, tiny):
+    nodes = QUERIES["graph_totals"](spark, tiny).head()["nodes"]
+    for name in ("betweenness", "communities"):
+        assert QUERIES[name](spark, tiny).count() == nodes, name
+
+
 def test_paths_use_no_edge_twice(spark):
     df = spark.createDataFrame([(1, "a", "X", "b"), (2, "b", "Y", "c"), (3, "a", "Z", "b")], "eid long, src string, rel string, dst string")
     got = {(r["target"], tuple(r["rels"])) for r in graph.paths(df, spark.createDataFrame([("a",)], "node string"), hops=2).collect()}

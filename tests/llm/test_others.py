@@ -171,6 +171,19 @@ def test_wrapper_induction_finds_what_is_constant(spark):
     assert html_extract.extract(df).count() == len(rows) and html_extract.extract(df.where("false")).count() == 0
 
 
+def test_templates_beyond_the_bound_merge_every_page(monkeypatch):
+    monkeypatch.setattr(html_extract, "NODES", 30)
+    rare = lambda i: "".join(f"<div class=r{chr(97 + i)}{chr(97 + k)}>x</div>" for k in range(6))
+    page = lambda i: f"<html><body><h1>Our site</h1><h2>{'same' if i < 12 else i}</h2>{rare(i)}<p>Body {i}</p></body></html>"
+    fold = lambda ids: html_extract.fold(html_extract.skeleton(html_extract.parse(page(i))) for i in ids)
+    both = html_extract.fold(iter([fold(range(12)), fold(range(12, 24))]))
+    for template in (fold(range(24)), both):
+        assert template[1] == 24 and html_extract.nodes_in(template) <= 30
+        for i in (0, 20):
+            lines = html_extract.main_text(page(i), template).split("\n")
+            assert lines == ["same" if i < 12 else str(i), *["x"] * 6, f"Body {i}"]
+
+
 def test_matching_is_the_largest():
     t = lambda name, *c: [name, 1, 0, list(c)]
     a, b = t("r", t("a"), t("b", t("x"), t("y")), t("c")), t("r", t("b", t("y")), t("a"), t("c"))

@@ -227,6 +227,13 @@ def test_pagerank_converges(spark):
     assert {r["node"]: r["rank"] for r in graph.pagerank(df).collect()} == pytest.approx({f"n{v}": x for v, x in want.items()}, abs=1e-8)
 
 
+def test_totals_count_communities(spark):
+    e, df = random_graph(spark)
+    nodes = {x for p in e for x in p}
+    member = spark.createDataFrame([(f"n{x}", f"c{x % 3}") for x in nodes], "node string, community string")
+    assert graph.totals(df, member=member).head().asDict() == {"edges": len(e), "conflicts": 0, "nodes": len(nodes), "communities": len({x % 3 for x in nodes})}
+
+
 def test_graph_queries_have_all_nodes(spark, tiny):
     nodes = QUERIES["graph_totals"](spark, tiny).head()["nodes"]
     for name in ("betweenness", "communities"):

@@ -40,7 +40,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality rules", rules), ("quality classifier", classify), ("n-gram Jaccard join", deduplicate), ("mixing sources to target weights", mix), ("best-fit packing", pack)]
 
-#: The classifier is not SQL; tests hold run() against a brute-force version of every other stage.
+#: The classifier is not SQL. Tests check the columns and row counts of the stages and the count of run(), not which documents are kept, mixed or packed.
 ORACLE_SQL = None
 
 

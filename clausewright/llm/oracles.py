@@ -101,15 +101,22 @@ _SMALL = quality_rules.SMALLEST
 
 
 def _op9() -> str:
-    metric = {
-        "symbol_ratio": "CASE WHEN word_chars > 0 THEN n_symbols::DOUBLE / word_chars ELSE 0 END",
-        "dup_line_ratio": "CASE WHEN n_lines > 0 THEN n_dup_lines::DOUBLE / n_lines ELSE 0 END",
-        "repeat_ratio": "CASE WHEN n_words > 0 THEN n_repeat_words::DOUBLE / n_words ELSE 0 END",
-    }
-    value = lambda q: f"min(CASE WHEN upto >= {q} * every THEN bucket END)"
+    rate = lambda n, d: f"CASE WHEN {d} > 0 THEN greatest(0::DOUBLE, {n}::DOUBLE - {quality_rules.NOISE}::DOUBLE * sqrt({n}::DOUBLE)) / {d}::DOUBLE ELSE 0 END"
+    metric = {"symbol_ratio": rate("n_symbols", "word_chars"), "dup_line_ratio": rate("n_dup_lines", "n_lines"), "repeat_ratio": rate("n_repeat_words", "n_words")}
+    level = "CASE metric " + " ".join(f"WHEN '{m}' THEN {q}::DOUBLE" for m, q in quality_rules.LEVELS.items()) + " END"
+    value = lambda q: f"min(CASE WHEN upto >= every::DOUBLE * {q} THEN bucket END)"
     point = lambda b: f"CASE WHEN {b} <= 0 THEN 0.0 ELSE {_SMALL}::DOUBLE * pow({_G!r}::DOUBLE, {b} - 1) * {2 * _G / (1 + _G)!r}::DOUBLE END"
-    limit = " ".join(f"WHEN '{m}' THEN least({top}, greatest({low}, hi + {quality_rules.SPREAD} * (hi - lo)))" for m, (low, top) in quality_rules.BOUNDS.items())
     fits = " AND ".join(f"coalesce({m} <= max_{m}, true)" for m in metric)
+
+    def limits(name: str, keys: str, up: str = "") -> str:
+        both = f"{keys}, " if keys else ""
+        mine = f"""{name}_o AS (SELECT {both}metric, n, hi + {quality_rules.SPREAD}::DOUBLE * (hi - mid) AS lim FROM (SELECT {both}metric, max(every) AS n, {point(value(level))} AS hi, {point(value("0.5::DOUBLE"))} AS mid
+  FROM (SELECT *, sum(n) OVER (PARTITION BY {both}metric ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {both}metric) AS every FROM (SELECT {both}metric, bucket, sum(n) AS n FROM bk GROUP BY ALL)) GROUP BY {both}metric))"""
+        lean = f"(o.lim * o.n + u.lim * {quality_rules.WEIGHT}) / (o.n + {quality_rules.WEIGHT})"
+        shared = " AND o.lang IS NOT DISTINCT FROM u.lang" if up == "lim_l" else ""
+        last = f"SELECT {both.replace('lang', 'o.lang')}o.metric, {lean} AS lim FROM {name}_o o JOIN {up} u ON o.metric = u.metric{shared}" if up else f"SELECT metric, lim FROM {name}_o"
+        return f"{mine},\n{name} AS ({last})"
+
     return rf"""
 WITH w AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, {_WORDS} AS w FROM documents),
 tri AS (SELECT doc_id, i, array_to_string(w[i:i + 2], chr(32)) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
@@ -121,10 +128,10 @@ st AS (SELECT doc_id, lang, source, len(w)::BIGINT AS n_words, length(array_to_s
 x AS (SELECT *, {", ".join(f"{e} AS {m}" for m, e in metric.items())}, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM st),
 long AS ({" UNION ALL ".join(f"SELECT lang, source, '{m}' AS metric, {m} AS v FROM x WHERE NOT base_failed" for m in metric)}),
 bk AS (SELECT lang, source, metric, CASE WHEN v <= {_SMALL} THEN 0 ELSE ceil(ln(v / {_SMALL}::DOUBLE) / ln({_G!r}::DOUBLE)) END AS bucket, count(*) AS n FROM long GROUP BY ALL),
-cu AS (SELECT *, sum(n) OVER (PARTITION BY lang, source, metric ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY lang, source, metric) AS every FROM bk),
-qs AS (SELECT lang, source, metric, {point(value(0.25))} AS lo, {point(value(0.75))} AS hi FROM cu GROUP BY ALL),
-lim AS (SELECT lang, source, metric, CASE metric {limit} END AS m FROM qs),
-wide AS (SELECT lang, source, {", ".join(f"max(m) FILTER (metric = '{m}') AS max_{m}" for m in metric)} FROM lim GROUP BY ALL)
+{limits("lim_a", "")},
+{limits("lim_l", "lang", "lim_a")},
+{limits("lim", "lang, source", "lim_l")},
+wide AS (SELECT lang, source, {", ".join(f"max(lim) FILTER (metric = '{m}') AS max_{m}" for m in metric)} FROM lim GROUP BY ALL)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {fits} AS kept
 FROM x LEFT JOIN wide ON x.lang IS NOT DISTINCT FROM wide.lang AND x.source IS NOT DISTINCT FROM wide.source
 """

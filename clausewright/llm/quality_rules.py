@@ -1,14 +1,18 @@
 """Quality rules with adaptive thresholds from mergeable quantile sketches.
 
 ``text_stats`` counts words, symbols, repeated lines and repeated word runs of whole
-texts. ``adaptive_thresholds`` builds, for each language and source, a quantile sketch
-of each ratio: counts in logarithmic buckets (relative error at most ``ALPHA``), which
-merge by addition, so a hot source is combined before the shuffle and no group is ever
-collected. A ratio's threshold is its group's third quartile plus ``SPREAD`` times the
-spread between the quartiles, held between a floor, below which no clean text is
-questioned, and a ceiling, beyond which no group's habits excuse it. ``judge`` joins
-the thresholds back to the documents on language and source (null matches null) and
-keeps the rows that pass the fixed base rules and every threshold.
+texts. Three rates are judged: symbols per character of words, repeated lines per line,
+repeated words per word, each with ``NOISE`` standard deviations of a count taken off, so
+that one event in a short text is not a habit. ``adaptive_thresholds`` builds a quantile
+sketch of each rate for each language and source: counts in logarithmic buckets (relative
+error at most ``ALPHA``), which merge by addition, so a hot source is combined before the
+shuffle and no group is ever collected. A group's own limit is the quantile at the rate's
+``LEVELS`` plus ``SPREAD`` times its distance from the median: what most texts of the group
+stay under, and some room. Small groups lean on the sketch of their language, and small
+languages on the sketch of all, as if these added ``WEIGHT`` texts. No limit is fixed: a
+rate that one source has by habit is rejected in another. ``judge`` joins the thresholds
+back to the documents on language and source (null matches null) and keeps the rows that
+pass the fixed base rules and every threshold; a rate equal to its threshold passes.
 
 Defined results: null text has no words and fails the base rules; texts of white space
 likewise; null language or source is a group of its own; an empty table gives an empty
@@ -32,9 +36,11 @@ from .textnum import slices, text_bytes, windows, word_hashes, word_spans
 ALPHA = 0.01
 GAMMA = (1 + ALPHA) / (1 - ALPHA)
 SMALLEST = 1e-4
-SPREAD = 3.0
-#: ratio: (floor, ceiling) of its threshold
-BOUNDS = {"symbol_ratio": (0.02, 0.1), "dup_line_ratio": (0.4, 0.6), "repeat_ratio": (0.4, 0.5)}
+NOISE = 0.5
+SPREAD = 1.0
+WEIGHT = 200
+#: rate: the quantile that its group's texts stay under by habit. Symbols are a trait of whole texts, repeats are events in a few of them.
+LEVELS = {"symbol_ratio": 0.85, "dup_line_ratio": 0.99, "repeat_ratio": 0.99}
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 
@@ -98,12 +104,11 @@ def text_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def with_ratios(stats: DataFrame) -> DataFrame:
-    over = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
-    return stats.withColumns({
-        "symbol_ratio": over(F.col("n_symbols").cast("double"), F.col("word_chars").cast("double")),
-        "dup_line_ratio": over(F.col("n_dup_lines").cast("double"), F.col("n_lines").cast("double")),
-        "repeat_ratio": over(F.col("n_repeat_words").cast("double"), F.col("n_words").cast("double")),
-    })
+    def over(n: str, all_of: str) -> Column:
+        events, size = F.col(n).cast("double"), F.col(all_of).cast("double")
+        return F.when(size > 0, F.greatest(F.lit(0.0), events - NOISE * F.sqrt(events)) / size).otherwise(0.0)
+
+    return stats.withColumns({"symbol_ratio": over("n_symbols", "word_chars"), "dup_line_ratio": over("n_dup_lines", "n_lines"), "repeat_ratio": over("n_repeat_words", "n_words")})
 
 
 def bucket(x: Column) -> Column:
@@ -128,18 +133,33 @@ def merge(*sketches: DataFrame) -> DataFrame:
     return whole.groupBy(*(c for c in whole.columns if c != "n")).agg(F.sum("n").alias("n"))
 
 
-def quantiles(sketched: DataFrame, groups: list[str], at: dict[str, float]) -> DataFrame:
-    """(groups..., metric, one column per quantile). Windows run over buckets, whose number is bounded, not over rows."""
+def quantiles(sketched: DataFrame, groups: list[str], at: dict[str, float | Column]) -> DataFrame:
+    """(groups..., metric, n, one column per quantile). Windows run over buckets, whose number is bounded, not over rows."""
     by = W.partitionBy(*groups, "metric")
     run = sketched.withColumns({"__upto": F.sum("n").over(by.orderBy("bucket")), "__all": F.sum("n").over(by)})
-    return run.groupBy(*groups, "metric").agg(*(bucket_value(F.min(F.when(F.col("__upto") >= q * F.col("__all"), F.col("bucket")))).alias(name) for name, q in at.items()))
-
-
-def adaptive_thresholds(rows: DataFrame, groups: list[str], bounds: dict[str, tuple[float, float]] = BOUNDS) -> DataFrame:
-    """(groups..., one threshold column per ratio)."""
-    q = quantiles(sketch(rows, groups, list(bounds)), groups, {"lower": 0.25, "upper": 0.75})
-    limit = F.col("upper") + SPREAD * (F.col("upper") - F.col("lower"))
-    return q.groupBy(*groups).agg(*(F.max(F.when(F.col("metric") == m, F.least(F.lit(top), F.greatest(F.lit(low), limit)))).alias(f"max_{m}") for m, (low, top) in bounds.items()))
+    point = lambda q: bucket_value(F.min(F.when(F.col("__upto") >= F.col("__all") * q, F.col("bucket"))))
+    return run.groupBy(*groups, "metric").agg(F.max("__all").alias("n"), *(point(q).alias(name) for name, q in at.items()))
+
+
+def adaptive_thresholds(rows: DataFrame, groups: list[str], levels: dict[str, float] = LEVELS) -> DataFrame:
+    """(groups..., one threshold column per ratio); each group leans on the one without its last column, up to all rows."""
+    whole = cut(sketch(rows, groups, list(levels)))
+    level = F.lit(None).cast("double")
+    for m, q in levels.items():
+        level = F.when(F.col("metric") == m, F.lit(q)).otherwise(level)
+    out = None
+    for depth in range(len(groups) + 1):
+        own = groups[:depth]
+        q = quantiles(merge(whole.select(*own, "metric", "bucket", "n")), own, {"upper": level, "middle": F.lit(0.5)})
+        q = q.select(*own, "metric", "n", (F.col("upper") + SPREAD * (F.col("upper") - F.col("middle"))).alias("limit"))
+        if out is not None:
+            up = out.select(F.col("metric").alias("u_metric"), F.col("limit").alias("u_limit"), *(F.col(c).alias(f"u_{c}") for c in own[:-1]))
+            same = F.col("metric") == F.col("u_metric")
+            for c in own[:-1]:
+                same = same & F.col(c).eqNullSafe(F.col(f"u_{c}"))
+            q = q.join(up, same).select(*own, "metric", "n", ((F.col("limit") * F.col("n") + F.col("u_limit") * WEIGHT) / (F.col("n") + WEIGHT)).alias("limit"))
+        out = q
+    return out.groupBy(*groups).agg(*(F.max(F.when(F.col("metric") == m, F.col("limit"))).alias(f"max_{m}") for m in levels))
 
 
 def _named(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str, all_columns: bool) -> DataFrame:
@@ -158,7 +178,7 @@ def _limits(rows: DataFrame) -> DataFrame:
 
 def _joined(rows: DataFrame, limits: DataFrame) -> DataFrame:
     fits = F.lit(True)
-    for m in BOUNDS:
+    for m in LEVELS:
         fits = fits & F.coalesce(F.col(m) <= F.col(f"max_{m}"), F.lit(True))
     both = rows.join(limits, F.col("lang").eqNullSafe(F.col("t_lang")) & F.col("source").eqNullSafe(F.col("t_source")), "left")
     return both.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & fits)
@@ -167,7 +187,7 @@ def _joined(rows: DataFrame, limits: DataFrame) -> DataFrame:
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """The statistics of every row, its base_failed and its kept."""
     rows = cut(with_ratios(text_stats(_named(docs, id_col, text_col, lang_col, source_col, False), "id", "text", ("lang", "source"))))
-    return _joined(rows, _limits(rows)).select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *BOUNDS, *(f"max_{m}" for m in BOUNDS))
+    return _joined(rows, _limits(rows)).select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *LEVELS, *(f"max_{m}" for m in LEVELS))
 
 
 def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:

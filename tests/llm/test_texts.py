@@ -42,6 +42,34 @@ def test_rules_keep_clean_and_reject_junk(spark):
     assert got[100] == got[101] == got[102] == (True, False)
 
 
+def habit_frame(spark):
+    """Two sources of 600 texts: in "code" every text has symbols in 1 to 30 of 80 words, in "prose" one text in 50 has."""
+    text = lambda i, k: " ".join(f"w{i}x{j}" + ("##" if j < k else "") for j in range(80))
+    rows = [(i, text(i, 1 + i % 30), "en", "code") for i in range(600)] + [(1000 + i, text(i, 20 if i % 50 == 0 else 0), "en", "prose") for i in range(600)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+
+
+def test_a_rate_passes_where_it_is_habit(spark):
+    judged = {r["doc_id"]: r for r in quality_rules.judge(habit_frame(spark)).collect()}
+    code, prose = judged[19], judged[1000]
+    assert abs(code["symbol_ratio"] - prose["symbol_ratio"]) < 0.01 and code["kept"] and not prose["kept"]
+    assert code["max_symbol_ratio"] > 2 * prose["max_symbol_ratio"] > 0
+    assert sum(not judged[i]["kept"] for i in range(600)) <= 6 and [i for i in range(1000, 1600) if not judged[i]["kept"]] == list(range(1000, 1600, 50))
+
+
+def test_a_rate_equal_to_its_threshold_passes(spark):
+    rows = quality_rules.with_ratios(spark.sql("SELECT id, 'en' AS lang, 's' AS source, 100L AS n_words, 400L AS word_chars, 0L AS n_symbols, 0L AS n_dup_lines, 0L AS n_repeat_words, 9L AS n_lines FROM range(50)"))
+    own = quality_rules.adaptive_thresholds(rows, ["lang", "source"])
+    assert own.count() == 1 and own.head()["max_symbol_ratio"] == 0.0
+    assert quality_rules._joined(rows, quality_rules._limits(rows)).where("kept").count() == 50
+
+
+def test_small_groups_lean_on_their_language(spark):
+    rows = quality_rules.with_ratios(spark.sql("SELECT 'en' AS lang, if(id < 5, null, 's') AS source, 1000L AS n_words, 1000L AS word_chars, if(id < 5, 500L, id % 10) AS n_symbols, 0L AS n_dup_lines, 0L AS n_repeat_words, 9L AS n_lines FROM range(2005)"))
+    got = {r["source"]: r["max_symbol_ratio"] for r in quality_rules.adaptive_thresholds(rows, ["lang", "source"]).collect()}
+    assert 0 < got["s"] < got[None] < 0.05
+
+
 def test_rules_keep_all_columns(spark):
     df = rules_frame(spark).withColumns({"n_words": F.lit("mine"), "c0": F.lit(1)})
     out = quality_rules.keep(df)

@@ -44,7 +44,7 @@ def test_rules_keep_clean_and_reject_junk(spark):
 
 def habit_frame(spark):
     """Two sources of 600 texts: in "code" every text has symbols in 1 to 30 of 80 words, in "prose" one text in 50 has."""
-    text = lambda i, k: " ".join(f"w{i}x{j}" + ("##" if j < k else "") for j in range(80))
+    text = lambda i, k: " ".join(f"w{i:04}x{j}" + ("##" if j < k else "") for j in range(80))
     rows = [(i, text(i, 1 + i % 30), "en", "code") for i in range(600)] + [(1000 + i, text(i, 20 if i % 50 == 0 else 0), "en", "prose") for i in range(600)]
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
 

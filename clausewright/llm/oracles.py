@@ -33,28 +33,34 @@ def _rules(pick: int) -> str:
     return out + " END"
 
 
+_COLUMNS = ["r", *(f"a{f}" for f in range(url_filter.FOLDS))]
+
+
 def _levels() -> str:
     out = []
+    each = lambda form: ", ".join(form.format(x=x) for x in _COLUMNS)
     for k in range(_K + 1):
-        below = f"1.0 / {url_filter.ALPHABET} AS la, 1.0 / {url_filter.ALPHABET} AS lr" if k == 0 else "low.pa AS la, low.pr AS lr"
+        below = each(f"1.0 / {url_filter.ALPHABET} AS l_{{x}}") if k == 0 else each("low.p_{x} AS l_{x}")
         joined = "" if k == 0 else f" JOIN m{k - 1} low ON low.g = substr(l.g, 2)"
         out.append(f"""
-l{k} AS (SELECT substr(g, {_K + 1 - k}) AS g, sum(a) AS a, sum(r) AS r FROM counts GROUP BY 1),
-c{k} AS (SELECT substr(g, 1, {k}) AS h, sum(a) AS na, sum(r) AS nr, count(*) FILTER (a > 0) AS ta, count(*) FILTER (r > 0) AS tr FROM l{k} GROUP BY 1),
-m{k} AS (SELECT g, CASE WHEN na > 0 THEN (a + ta * la) / (na + ta) ELSE la END AS pa, CASE WHEN nr > 0 THEN (r + tr * lr) / (nr + tr) ELSE lr END AS pr
-  FROM (SELECT l.g, l.a, l.r, c.na, c.nr, c.ta, c.tr, {below} FROM l{k} l JOIN c{k} c ON c.h = substr(l.g, 1, {k}){joined}))""")
+l{k} AS (SELECT substr(g, {_K + 1 - k}) AS g, {each("sum({x}) AS {x}")} FROM counts GROUP BY 1),
+c{k} AS (SELECT substr(g, 1, {k}) AS h, {each("sum({x}) AS n_{x}, count(*) FILTER ({x} > 0) AS t_{x}")} FROM l{k} GROUP BY 1),
+m{k} AS (SELECT g, {each("CASE WHEN n_{x} > 0 THEN ({x} + t_{x} * l_{x}) / (n_{x} + t_{x}) ELSE l_{x} END AS p_{x}")}
+  FROM (SELECT l.g, {each("l.{x}, c.n_{x}, c.t_{x}")}, {below} FROM l{k} l JOIN c{k} c ON c.h = substr(l.g, 1, {k}){joined}))""")
     return ",".join(out)
 
 
 OP3 = rf"""
 WITH p AS (SELECT page_id, url, {_HOST} AS host, {_PATH} AS path FROM pages),
-u AS (SELECT DISTINCT url, {_LOWER.format("regexp_extract(url, '(?s)^.*?://(.*)$', 1)")} AS t, {" OR ".join(f"contains(host, '{s}')" for s in url_filter.SEEDS)} AS bad FROM p WHERE contains(url, '://')),
-g AS (SELECT url, bad, unnest(list_transform(range(1, length(t) + 1), lambda i: substr(repeat(chr(2), {_K}) || t, i, {_K + 1}))) AS g FROM u),
-counts AS (SELECT g, (count(*) FILTER (NOT bad))::DOUBLE AS a, (count(*) FILTER (bad))::DOUBLE AS r FROM g GROUP BY g),
+u AS (SELECT DISTINCT url, {_LOWER.format("regexp_extract(url, '(?s)^.*?://(.*)$', 1)")} AS t, regexp_matches(host, 'adult|bets|casino|pills|spam') AS bad,
+  ('0x' || substr(md5(host), 1, 7))::BIGINT % {url_filter.FOLDS} AS fold FROM p WHERE contains(url, '://')),
+g AS (SELECT url, bad, fold, unnest(list_transform(range(1, length(t) + 1), lambda i: substr(repeat(chr(2), {_K}) || t, i, {_K + 1}))) AS g FROM u),
+counts AS (SELECT g, (count(*) FILTER (bad))::DOUBLE AS r, {", ".join(f"(count(*) FILTER (NOT bad AND fold <> {f}))::DOUBLE AS a{f}" for f in range(url_filter.FOLDS))} FROM g GROUP BY g),
 {_levels()},
-scores AS (SELECT url, bad, coalesce(avg(ln(pa) - ln(pr)), 0) AS score FROM u LEFT JOIN g USING (url, bad) LEFT JOIN m{_K} USING (g) GROUP BY url, bad),
-stat AS (SELECT avg(score) FILTER (NOT bad) AS ma, stddev_pop(score) FILTER (NOT bad) AS sa, avg(score) FILTER (bad) AS mr, stddev_pop(score) FILTER (bad) AS sr FROM scores),
-cut AS (SELECT (ma * (sr + 1e-9) + mr * (sa + 1e-9)) / (sa + sr + 2e-9) AS t FROM stat)
+scores AS (SELECT url, bad, coalesce(avg(CASE fold {" ".join(f"WHEN {f} THEN ln(p_a{f}) - ln(p_r)" for f in range(url_filter.FOLDS))} END), 0) AS score FROM u LEFT JOIN g USING (url, bad, fold) LEFT JOIN m{_K} USING (g) GROUP BY url, bad),
+b AS (SELECT floor(score * 1000) AS b, count(*) FILTER (NOT bad) AS a, count(*) FILTER (bad) AS r FROM scores GROUP BY 1),
+f AS (SELECT b, sum(a) OVER (ORDER BY b) AS upto, sum(a) OVER () AS every_a, sum(r) OVER () AS every_r FROM b),
+cut AS (SELECT least(0, min(b) FILTER (upto > every_a::DOUBLE * {url_filter.FALSE_BLOCKS}::DOUBLE) / 1000) AS t FROM f WHERE every_a > 0 AND every_r > 0)
 SELECT page_id, host, path, {_rules(0)} AS rule, coalesce({_rules(1)}, CASE WHEN score < (SELECT t FROM cut) THEN 'block' ELSE 'allow' END) AS verdict
 FROM p LEFT JOIN scores USING (url)
 """

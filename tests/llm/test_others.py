@@ -36,13 +36,34 @@ def test_rules_and_parts(spark):
     assert url_filter.judge(df.where("false")).count() == 0
 
 
-def test_language_models_tell_seeded_hosts(spark):
+def urls_of(rng, hosts, n, path="fr"):
+    return [f"http://{h}.example.com/{path}/{rng.randrange(10**4)}" for h in hosts for _ in range(n)]
+
+
+def test_language_models_judge_kinds_of_hosts(spark):
     rng = random.Random(1)
-    good = [f"http://{rng.choice('lmnr')}{rng.choice('aeo')}nth{i % 7}.example.com/fr/{i}" for i in range(200)]
-    bad = [f"http://casino-win{i % 5}.example.com/fr/{i}" for i in range(40)]
-    df = spark.createDataFrame(list(enumerate([*good, *bad])), "page_id long, url string")
-    got = {r["page_id"]: r["verdict"] for r in url_filter.judge(df, rules=()).collect()}
-    assert all(got[i] == "allow" for i in range(200)) and all(got[i] == "block" for i in range(200, 240))
+    good = urls_of(rng, [f"{a}{b}nth{c}" for a in "lmnr" for b in "aeo" for c in ("er", "ing")], 20)
+    bad = urls_of(rng, ["casino-win", "free-bets", "m.cheap-pills", "spam-farm"], 10)
+    kin = ["http://caslno-w1n.example.com/fr/7", "http://www.cheap-pi11s.example.com/fr/9"] + urls_of(rng, ["win-free"], 3)
+    named = ["http://lanther.example.com/fr/casino"]
+    df = spark.createDataFrame(list(enumerate([*good, *bad, *kin, *named])), "page_id long, url string")
+    got = [r["verdict"] for r in url_filter.judge(df, rules=()).orderBy("page_id").collect()]
+    n = len(good)
+    assert sum(v == "block" for v in got[:n]) <= 0.02 * n and set(got[n : n + len(bad)]) == {"block"}
+    # no seed is in these hosts, and a seed in a path is no reason
+    assert set(got[n + len(bad) : -1]) == {"block"} and got[-1] == "allow"
+
+
+def test_one_class_allows_all(spark):
+    df = spark.createDataFrame([(i, f"http://h{i}.org/") for i in range(5)], "page_id long, url string")
+    assert {r["verdict"] for r in url_filter.judge(df, rules=()).collect()} == {"allow"}
+    assert {r["verdict"] for r in url_filter.judge(df, rules=(), seeds=("h",)).collect()} == {"allow"}
+
+
+def test_threshold_holds_the_rate_and_ties_pass(spark):
+    scores = spark.sql("SELECT id AS key, id < 10 AS rejected, CASE WHEN id < 10 THEN -3.0D WHEN id < 20 THEN -0.5D WHEN id < 110 THEN -0.25D ELSE 1.0D END AS score FROM range(1010)")
+    assert url_filter.threshold(scores, 0.02) == -0.25 and url_filter.threshold(scores, 0.005) == -0.5 and url_filter.threshold(scores, 0.2) == 0.0
+    assert url_filter.threshold(scores.where("rejected")) is None and url_filter.threshold(scores.where("not rejected")) is None
 
 
 def test_smoothing_gives_probabilities(spark):

@@ -30,7 +30,8 @@ which should grow with the corpus; a shingle costs a shard about 6 bytes per nod
 Defined results: texts without words, and null texts, have an empty set and link with
 nothing; a text with fewer than k words is one shingle; repeated rows, and repeated ids
 with different texts, are rows of their own; a row without id has a component only
-through others; an empty table gives an empty table; other columns are ignored.
+through others; an empty table gives an empty table; other columns are ignored, and kept
+by ``keep``, whatever their names.
 """
 
 from __future__ import annotations
@@ -45,7 +46,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .spark_io import connected_components, cut, shuffle_partitions, written
+from .spark_io import HOT, connected_components, cut, joined_with_hot_keys, shuffle_partitions, written
 from .textnum import mix, shingle_sets, slices
 
 FLUSH = 2_000_000
@@ -53,6 +54,7 @@ LOW = np.uint64((1 << 40) - 1)
 MARKS = 16
 CLASS = 1.03
 ROUNDS, HUBS, FEW = 12, 1, 1.0
+SPLIT = 1000
 _FIELDS = "part int, kind int, doc long, node long, n long, shard int, blob binary"
 _SCHEMA = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("doc", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("shard", pa.int32()), ("blob", pa.binary())])
 MEMBER, SIZE, BLOB = 0, 1, 2
@@ -117,7 +119,7 @@ def _deal(k: int, parts: int):
                 name = mix(total[at[1:]] - total[at[:-1]] + n.astype(np.uint64))
                 doc = b.column("doc")
                 where = mix(np.arange(len(n)).astype(np.uint64) + name) % np.uint64(parts)
-                yield _rows(MEMBER, where.astype(np.int32), doc=doc, node=pa.array(name.view(np.int64), mask=n == 0), n=n)
+                yield _rows(MEMBER, where.astype(np.int32), doc=doc, node=pa.array(name.view(np.int64), mask=n == 0), n=n, blob=b.column("key").cast(pa.binary()))
                 for i in np.flatnonzero(n):
                     if (v := int(name[i])) not in held:
                         held[v] = hashes[at[i] : at[i + 1]]
@@ -168,7 +170,7 @@ def _shards(parts: int):
     return run
 
 
-_PROFILE = pa.schema([("kind", pa.int32()), ("doc", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("tokens", pa.list_(pa.int64())), ("marks", pa.list_(pa.int64()))])
+_PROFILE = pa.schema([("kind", pa.int32()), ("key", pa.binary()), ("doc", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("tokens", pa.list_(pa.int64())), ("marks", pa.list_(pa.int64()))])
 
 
 def _profiles(num: int, den: int):
@@ -178,7 +180,7 @@ def _profiles(num: int, den: int):
         for b in batches:
             kind = b.column("kind").to_numpy()
             if (own := b.filter(pa.array(kind == MEMBER))).num_rows:
-                yield pa.RecordBatch.from_arrays([own.column("kind"), own.column("doc"), own.column("node"), own.column("n"), pa.nulls(own.num_rows, pa.list_(pa.int64())), pa.nulls(own.num_rows, pa.list_(pa.int64()))], schema=_PROFILE)
+                yield pa.RecordBatch.from_arrays([own.column("kind"), own.column("blob"), own.column("doc"), own.column("node"), own.column("n"), pa.nulls(own.num_rows, pa.list_(pa.int64())), pa.nulls(own.num_rows, pa.list_(pa.int64()))], schema=_PROFILE)
             own = b.filter(pa.array(kind == SIZE))
             sizes.append((own.column("node").to_numpy().view(np.uint64), own.column("n").to_numpy()))
             own = b.filter(pa.array(kind == BLOB))
@@ -205,18 +207,18 @@ def _profiles(num: int, den: int):
         for a in range(0, int(keep.sum()), 500):
             m = min(500, int(keep.sum()) - a)
             lists = pa.ListArray.from_arrays(pa.array((begin[a : a + m + 1] - begin[a]).astype(np.int32)), pa.array(tokens[begin[a] : begin[a + m]]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(m, SIZE, np.int32)), pa.nulls(m, pa.int64()), pa.array(names[keep][a : a + m].view(np.int64)), pa.array(lengths[keep][a : a + m]), lists, pa.ListArray.from_arrays(pa.array(np.arange(0, MARKS * m + 1, MARKS, dtype=np.int32)), pa.array(marks[MARKS * a : MARKS * (a + m)]))], schema=_PROFILE)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(m, SIZE, np.int32)), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int64()), pa.array(names[keep][a : a + m].view(np.int64)), pa.array(lengths[keep][a : a + m]), lists, pa.ListArray.from_arrays(pa.array(np.arange(0, MARKS * m + 1, MARKS, dtype=np.int32)), pa.array(marks[MARKS * a : MARKS * (a + m)]))], schema=_PROFILE)
 
     return run
 
 
-def profiles(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int) -> DataFrame:
-    """Members (kind 0: doc, node, n) and the nodes that share enough (kind 1: node, n, shared shingles rare-first)."""
+def profiles(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int, key: Column | None = None) -> DataFrame:
+    """Members (kind 0: key, doc, node, n) and the nodes that share enough (kind 1: node, n, shared shingles rare-first)."""
     parts = shuffle_partitions(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"), (F.lit(None) if key is None else key).cast("binary").alias("key"))
     dealt = rows.mapInArrow(_deal(k, parts), _FIELDS).repartitionById(parts, "part")
     back = dealt.mapInArrow(_shards(parts), _FIELDS).repartitionById(parts, "part")
-    return written(back.mapInArrow(_profiles(num, den), "kind int, doc long, node long, n long, tokens array<long>, marks array<long>"))
+    return written(back.mapInArrow(_profiles(num, den), "kind int, key binary, doc long, node long, n long, tokens array<long>, marks array<long>"))
 
 
 def _least(x: Column, y: Column, num: int, den: int) -> Column:
@@ -273,10 +275,10 @@ def components(nodes: DataFrame, num: int, den: int) -> DataFrame:
     for turn in range(ROUNDS):
         here = slim.join(comp, "node")
         load = here.groupBy("token", "comp").agg(F.count("*").alias("c"))
-        mixed = cut(load.groupBy("token").agg(F.sum("c").alias("t"), F.sum(F.col("c") * F.col("c")).alias("q")).where("t * t > q").select("token", ((F.col("t") * F.col("t") - F.col("q")) / 2).alias("cross")))
-        cross = mixed.agg(F.coalesce(F.sum("cross"), F.lit(0.0))).head()[0]
+        mixed = cut(load.groupBy("token").agg(F.sum("c").alias("t"), F.sum(F.col("c") * F.col("c")).alias("q")).where("t * t > q").select("token", F.col("t").alias("load"), ((F.col("t") * F.col("t") - F.col("q")) / 2).alias("cross")))
+        cross, left = mixed.agg(F.coalesce(F.sum("cross"), F.lit(0.0)), F.coalesce(F.sum("load"), F.lit(0))).head()
         # components only grow, so a shingle within one component is done with for good
-        live = written(here.join(mixed.select("token"), "token").select("token", "node", "pos", "alone", "comp"))
+        live = written(joined_with_hot_keys(here, mixed.select("token", "load"), "token", left).select("token", "node", "pos", "alone", "comp"))
         slim = live.drop("comp")
         idle = idle + 1 if before is not None and cross > 0.9 * before else 0
         if cross <= FEW * size or idle >= 1:
@@ -284,8 +286,8 @@ def components(nodes: DataFrame, num: int, den: int) -> DataFrame:
         before = cross
         # first the node that has least of its own, then any
         order = F.struct("alone", "node") if turn == 0 else F.struct(F.xxhash64("node", "token", F.lit(turn)), "node")
-        hubs = live.groupBy("token").agg(F.min_by(F.struct("node", "comp"), order).alias("hub")).select("token", F.col("hub.node").alias("b"), F.col("hub.comp").alias("b_comp"))
-        near = live.join(hubs, "token").where("comp <> b_comp").groupBy("node", "b").agg(F.count("*").alias("c"))
+        hubs = cut(live.groupBy("token").agg(F.min_by(F.struct("node", "comp"), order).alias("hub"), F.count("*").alias("load")).select("token", F.col("hub.node").alias("b"), F.col("hub.comp").alias("b_comp"), "load"))
+        near = joined_with_hot_keys(live, hubs, "token", left).where("comp <> b_comp").groupBy("node", "b").agg(F.count("*").alias("c"))
         near = near.withColumn("rn", F.row_number().over(W.partitionBy("node").orderBy(F.desc("c"), "b"))).where(F.col("rn") <= HUBS)
         pairs = near.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
         pairs = cut(pairs.join(tried, ["a", "b"], "left_anti").join(small("a"), "a").join(small("b"), "b").where(_bounded("a", "b", num, den)).select("a", "b"))
@@ -293,8 +295,11 @@ def components(nodes: DataFrame, num: int, den: int) -> DataFrame:
         comp = _merged(comp, _verified(pairs, nodes, num, den))
     here = slim.join(comp, "node")
     load = here.groupBy("token", "comp").agg(F.count("*").alias("c"))
-    mixed = load.groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1").select("token", "main")
-    live = here.join(mixed, "token").join(nodes.select("node", "n", "m", "marks"), "node")
+    mixed = cut(load.groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("comps"), F.sum("c").alias("load")).where("comps > 1").select("token", "main", "load"))
+    left = mixed.agg(F.coalesce(F.sum("load"), F.lit(0))).head()[0]
+    # the postings of a shingle are met in splits of about SPLIT rows, or of a HOT of all where that is more
+    splits = F.ceil(F.col("load") / max(SPLIT, left / HOT)).cast("int").alias("splits")
+    live = joined_with_hot_keys(here, mixed.select("token", "main", splits, "load"), "token", left).join(nodes.select("node", "n", "m", "marks"), "node")
     # the most that a partner's size may be, with no more in common than the m shared shingles
     live = live.withColumn("most", F.floor(F.col("m") * (num + den) / num) - F.col("n")).drop("alone")
     size_class = lambda n: F.floor(F.log(n) / math.log(CLASS)).cast("int")
@@ -302,28 +307,54 @@ def components(nodes: DataFrame, num: int, den: int) -> DataFrame:
     probe = live.withColumn("class", F.explode(F.sequence(size_class(need(F.col("n"))), size_class(F.greatest(F.lit(1), need(F.col("n")), F.least("n", "most"))))))
     out_of_main = F.col("comp") != F.col("main")
 
-    def met(larger: DataFrame, smaller: DataFrame) -> DataFrame:
-        x, y = (d.select("token", "class", *(F.col(c).alias(f"{s}_{c}") for c in ("node", "pos", "comp", "n", "m", "marks", "most"))) for d, s in ((larger, "x"), (smaller, "y")))
+    def met(larger: DataFrame, smaller: DataFrame, spread: str) -> DataFrame:
+        """Pairs across components; the side ``spread`` is dealt over a shingle's splits, and the other is copied to each of them."""
+        dealt, copied = F.pmod(F.xxhash64("node", F.lit(3)), F.col("splits")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("splits") - 1))
+        larger, smaller = (d.withColumn("split", dealt if s == spread else copied) for d, s in ((larger, "x"), (smaller, "y")))
+        x, y = (d.select("token", "class", "split", *(F.col(c).alias(f"{s}_{c}") for c in ("node", "pos", "comp", "n", "m", "marks", "most"))) for d, s in ((larger, "x"), (smaller, "y")))
         sizes = (F.col("y_n") <= F.least("x_n", "x_most")) & (F.col("x_n") <= F.col("y_most"))
         # what stands behind this shingle in each, and the shingles before it in the shorter part
         position = F.least(F.col("x_m") - F.col("x_pos"), F.col("y_m") - F.col("y_pos")) + F.least("x_pos", "y_pos") >= _least(F.col("x_n"), F.col("y_n"), num, den)
-        return x.join(y, ["token", "class"]).where((F.col("x_comp") != F.col("y_comp")) & sizes & position & _bounded("x", "y", num, den)).select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b"))
+        return x.join(y, ["token", "class", "split"]).where((F.col("x_comp") != F.col("y_comp")) & sizes & position & _bounded("x", "y", num, den)).select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b"))
 
     # two nodes of a shingle's main component need not meet
-    pairs = met(probe.where(out_of_main), index).unionAll(met(probe, index.where(out_of_main))).distinct()
+    pairs = met(probe.where(out_of_main), index, "y").unionAll(met(probe, index.where(out_of_main), "x")).distinct()
     pairs = cut(pairs.join(tried, ["a", "b"], "left_anti"))
     out = _merged(comp, _verified(pairs, nodes, num, den)).withColumnRenamed("comp", "root")
     nodes.unpersist()
     return out
 
 
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 3, den: int = 4, key: Column | None = None) -> DataFrame:
+    """(key, doc, n, group, component_id) for every row: ``key`` as given, the size of its set, and the name of its component, null for an empty set."""
+    rows = profiles(docs, id_col, text_col, k, num, den, key)
+    members = rows.where(F.col("kind") == MEMBER).select("key", "doc", "node", "n")
+    roots = components(rows.where(F.col("kind") == SIZE).select("node", "n", "tokens", "marks"), num, den)
+    least = members.where("node is not null").groupBy("node").agg(F.min("doc").alias("low"), F.count("*").alias("load"))
+    placed = cut(least.join(roots, "node", "left").select("node", "low", "load", F.coalesce("root", "node").alias("group")))
+    per = cut(placed.groupBy("group").agg(F.min("low").alias("component_id"), F.count("*").alias("load")))
+    nodes, total = placed.agg(F.count("*"), F.coalesce(F.sum("load"), F.lit(0))).head()
+    named = joined_with_hot_keys(placed.withColumnRenamed("load", "members"), per, "group", nodes).select("node", "group", "component_id", F.col("members").alias("load"))
+    out = joined_with_hot_keys(members, named, "node", total, "left")
+    return out.select("key", "doc", "n", "group", F.coalesce("component_id", "doc").alias("component_id"))
+
+
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 3, den: int = 4) -> DataFrame:
     """(id, n_shingles, component_id) for every row; documents link at Jaccard similarity num / den or more."""
-    rows = profiles(docs, id_col, text_col, k, num, den)
-    members = rows.where(F.col("kind") == MEMBER).select("doc", "node", "n")
-    roots = components(rows.where(F.col("kind") == SIZE).select("node", "n", "tokens", "marks"), num, den)
-    least = members.where("node is not null").groupBy("node").agg(F.min("doc").alias("low"))
-    placed = least.join(roots, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
-    named = placed.join(placed.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("node", "component_id")
-    out = members.join(named, "node", "left")
-    return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc").alias("component_id"))
+    return groups(docs, id_col, text_col, k, num, den).select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+
+
+def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 3, den: int = 4) -> DataFrame:
+    """One row of each component, that with the smallest id, with all its columns; rows with empty sets all stay.
+
+    A row is told by its id and two hashes of its text, so ids may repeat. Texts are shuffled once, by that.
+    """
+    text, ident = F.col(text_col), F.col(id_col).cast("long")
+    key = F.to_binary(F.concat(*(F.lpad(F.hex(F.xxhash64(*x)), 16, "0") for x in ((F.lit(1), F.isnull(ident), ident, text), (text, F.lit(2), ident)))), F.lit("hex"))
+    found = written(groups(docs, id_col, text_col, k, num, den, key))
+    first = found.where("group is not null").groupBy("group").agg(F.min(F.struct(F.isnull("doc").alias("none"), "doc", "key")).alias("row"))
+    stay = first.select("row.key").withColumn("once", F.lit(True)).unionAll(found.where("group is null").select("key", F.lit(False).alias("once")).distinct())
+    every = docs.select(F.struct("*").alias("row"), key.alias("key")).join(stay, "key")
+    # equal rows stand together after the join; those with empty sets are told apart
+    apart = every.withColumn("other", F.when(F.col("once"), F.lit(-1)).otherwise(F.monotonically_increasing_id()))
+    return apart.dropDuplicates(["key", "other"]).select("row.*")

@@ -49,8 +49,8 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     return per.select("source", "source_size", "n", "weight", F.coalesce(F.least(F.col("cap"), F.col("__level") * F.col("weight")), F.col("cap")).alias("target"))
 
 
-def _ranked(docs: DataFrame, seed: int, id_col: str, text_col: str, source_col: str, weight_col: str | None, rest: list[str]) -> DataFrame:
-    """id, source, size, u, relative weight and the ``rest`` of the columns."""
+def _ranked(docs: DataFrame, seed: int, id_col: str, text_col: str, source_col: str, weight_col: str | None, *rest: Column) -> DataFrame:
+    """id, source, size, u, relative weight and ``rest``."""
     u = (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     relative = F.greatest(F.coalesce(F.col(weight_col).cast("double"), F.lit(1.0)), F.lit(0.0)) if weight_col else F.lit(1.0)
@@ -71,9 +71,9 @@ def _placed(rows: DataFrame, targets: DataFrame) -> DataFrame:
     )
 
 
-def plan(docs: DataFrame, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight_col: str | None = None) -> DataFrame:
-    """(source, source_size, n, weight, target, mean, last): one row per source; documents ranked up to ``last`` are taken once more."""
-    rows = cut(_ranked(docs, seed, id_col, text_col, source_col, weight_col, []))
+def _planned(docs: DataFrame, seed: int, id_col: str, text_col: str, source_col: str, weight_col: str | None) -> tuple[DataFrame, DataFrame]:
+    """(id, source, size, target, whole, rank, bucket) of every row, and one row per source: (source, source_size, n, weight, target, mean, last)."""
+    rows = cut(_ranked(docs, seed, id_col, text_col, source_col, weight_col))
     targets = source_targets(rows.select("source", "size"))
     same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
     mean = rows.groupBy(F.col("source").alias("m_source")).agg(F.when(F.sum("size") > 0, F.sum(F.col("size") * F.col("relative")) / F.sum("size")).otherwise(1.0).alias("mean"))
@@ -88,7 +88,12 @@ def plan(docs: DataFrame, seed: int = 1, id_col: str = "doc_id", text_col: str =
     room = F.col("target") - F.col("certain")
     fits = F.col("before") + F.sum("size").over(within.rowsBetween(W.unboundedPreceding, 0)) - F.col("size") / 2 <= room
     last = ranked.where("rank is not null").join(sums, same("source", "s_source") & (F.col("bucket") == F.col("s_bucket"))).withColumn("fits", fits).where("fits").groupBy(F.col("source").alias("l_source")).agg(F.max("rank").alias("last"))
-    return written(targets.join(last, same("source", "l_source"), "left").drop("l_source"))
+    return ranked, written(targets.join(last, same("source", "l_source"), "left").drop("l_source"))
+
+
+def plan(docs: DataFrame, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight_col: str | None = None) -> DataFrame:
+    """(source, source_size, n, weight, target, mean, last): one row per source; documents ranked up to ``last`` are taken once more."""
+    return _planned(docs, seed, id_col, text_col, source_col, weight_col)[1]
 
 
 def _copies() -> Column:
@@ -96,13 +101,17 @@ def _copies() -> Column:
 
 
 def mix(docs: DataFrame, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight_col: str | None = None) -> DataFrame:
-    """(id, source, size, source_size, target, copies, taken) for every row of ``docs``."""
-    rows = _placed(_ranked(docs, seed, id_col, text_col, source_col, weight_col, []), plan(docs, seed, id_col, text_col, source_col, weight_col)).withColumn("copies", _copies())
-    return rows.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    """(id, source, size, source_size, target, copies, taken) for every row of ``docs``; texts are read once."""
+    ranked, per = _planned(docs, seed, id_col, text_col, source_col, weight_col)
+    both = ranked.drop("target").join(per.withColumnRenamed("source", "t_source"), F.col("source").eqNullSafe(F.col("t_source"))).withColumn("copies", _copies())
+    return both.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def take(docs: DataFrame, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight_col: str | None = None) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it, with all their columns. Texts are not shuffled: what is joined to them is one row per source."""
-    packed = docs.select("*", F.struct("*").alias("__row"))
-    rows = _placed(_ranked(packed, seed, id_col, text_col, source_col, weight_col, ["__row"]), plan(docs, seed, id_col, text_col, source_col, weight_col)).withColumn("copies", _copies())
-    return rows.where("copies > 0").select("__row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("__row.*")
+    """The rows of ``docs``, each as often as the mix takes it, with all their columns, whatever their names.
+
+    Texts are not shuffled: what is joined to them is one row per source.
+    """
+    every = _ranked(docs, seed, id_col, text_col, source_col, weight_col, F.struct("*").alias("row"))
+    rows = _placed(every, plan(docs, seed, id_col, text_col, source_col, weight_col)).withColumn("copies", _copies())
+    return rows.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")

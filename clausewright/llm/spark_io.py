@@ -40,6 +40,27 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key with one of so many rows or more is hot; there are at most so many of them.
+HOT = 1000
+
+
+def joined_with_hot_keys(rows: DataFrame, facts: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``facts``, one row per key and its number of ``rows`` as ``load``, out of ``total``.
+
+    Facts of hot keys are at most ``HOT`` rows, so they are broadcast and their rows stay where
+    they are; only the other keys are shuffled. A null key joins with nothing.
+    """
+    hot = F.col("load") * HOT >= total
+    few = facts.where(hot).drop("load")
+    rest = facts.where(~hot).drop("load")
+    is_hot = few.select(F.col(key).alias("__key"), F.lit(True).alias("__hot"))
+    marked = rows.join(F.broadcast(is_hot), F.col(key) == F.col("__key"), "left").drop("__key")
+    away = F.col("__hot") if how == "inner" else F.col("__hot") | F.col(key).isNull()
+    one = marked.where(away).drop("__hot").join(F.broadcast(few), key, how)
+    two = marked.where(F.col("__hot").isNull() & F.col(key).isNotNull()).drop("__hot").join(rest, key, how)
+    return one.unionByName(two)
+
+
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 

@@ -1,6 +1,8 @@
 """URL filter, source mix, chat formatting, HTML extraction, embeddings, pipeline."""
 
+import collections
 import hashlib
+import math
 import random
 import time
 
@@ -8,9 +10,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from clausewright.llm import chat_format, embedding_dedup, html_extract, source_mix, spark_io, url_filter
+from clausewright.llm import chat_format, embedding_dedup, html_extract, jaccard_join, quality_rules, source_mix, spark_io, url_filter
 
-from .brute import components
+from .brute import WORD, components, shingles, statistics
 
 
 # --- URL filter
@@ -340,6 +342,113 @@ def test_connected_components(spark):
     assert got == {i: r for i, r in components([e for e in edges if e[0] != e[1]], ids).items()}
 
 
+def quality_rows(n=400):
+    """Documents of two kinds of words, copies and near copies of some of them, junk, and rows with nulls, repeated ids and no words."""
+    rng = random.Random(12)
+    line = lambda kind, k: " ".join(f"{kind}{rng.choice('bcdfgklm')}{rng.choice('aeiou')}{rng.randrange(400)}" for _ in range(k))
+    texts = [line("q" if i % 4 else "z", rng.randrange(55, 140)) for i in range(n)]
+    texts += [texts[i] for i in range(1, 60, 3)] + [texts[i] + " end of it" for i in range(2, 80, 3)]
+    texts += ["*** $$$ ## " * 40 + line("q", 60), "a b c " * 60, "few words", "", None]
+    rows = [(i, t, ("en", "fr", None)[i % 3], ("s1", "s2", "s2", "s3", None)[i % 5]) for i, t in enumerate(texts)]
+    rows += [(5, texts[5], "en", "s1"), (5, texts[6] + " more", "en", "s1"), (None, texts[9], "en", "s1"), (None, line("q", 80), None, None)]
+    return rows
+
+
+@pytest.fixture(scope="module")
+def small_corpus(spark, tmp_path_factory):
+    at = str(tmp_path_factory.mktemp("corpus"))
+    docs = spark.createDataFrame(quality_rows(), "doc_id long, text string, lang string, source string").withColumn("n_chars", F.length("text").cast("long"))
+    clash = docs.select("*", F.lit("x").alias("a.b"), F.lit(1).alias("__row"), F.lit("y").alias("row"), F.lit(2).alias("key"))
+    clash.write.parquet(f"{at}/documents.parquet")
+    docs.where("doc_id is not null and text is not null").dropDuplicates(["doc_id"]).select("doc_id", F.startswith("text", F.lit("q")).cast("int").alias("quality"), F.lit(0).alias("toxic")).write.parquet(f"{at}/labels.parquet")
+    return at
+
+
+def plain_rules(rows):
+    """The rules by sorting: limits from the bucket that holds each quantile."""
+    q, out = quality_rules, []
+    stats = []
+    for r in rows:
+        n_words, chars, symbols, dups, repeats = statistics(r[1])
+        lines = sum(bool(WORD.search(x)) for x in (r[1] or "").split("\n"))
+        rate = lambda n, d: max(0.0, n - q.NOISE * n**0.5) / d if d else 0.0
+        stats.append((n_words < 50 or 100 * repeats > 50 * n_words, dict(symbol_ratio=rate(symbols, chars), dup_line_ratio=rate(dups, lines), repeat_ratio=rate(repeats, n_words))))
+
+    def point(values, level):
+        b = sorted(0 if v <= q.SMALLEST else math.ceil(math.log(v / q.SMALLEST) / math.log(q.GAMMA)) for v in values)
+        at = next(x for i, x in enumerate(b) if sum(y <= x for y in b) >= level * len(b))
+        return 0.0 if at <= 0 else q.SMALLEST * q.GAMMA ** (at - 1) * 2 * q.GAMMA / (1 + q.GAMMA)
+
+    def limit(m, of, up=None):
+        values = [s[1][m] for r, s in zip(rows, stats, strict=True) if not s[0] and of(r)]
+        own = point(values, q.LEVELS[m]) + q.SPREAD * (point(values, q.LEVELS[m]) - point(values, 0.5))
+        return own if up is None else (own * len(values) + up * q.WEIGHT) / (len(values) + q.WEIGHT)
+
+    for r, (failed, rates) in zip(rows, stats, strict=True):
+        fits = not failed
+        for m, v in rates.items():
+            if not failed:
+                whole = limit(m, lambda x: True)
+                lang = limit(m, lambda x, r=r: x[2] == r[2], whole)
+                fits = fits and v <= limit(m, lambda x, r=r: x[2:4] == r[2:4], lang)
+        out.append(fits)
+    return [r for r, ok in zip(rows, out, strict=True) if ok]
+
+
+def plain_groups(rows):
+    """The first row of every group of linked texts; a row without words is its own group."""
+    sets = [shingles(r[1]) for r in rows]
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if sets[i] and 4 * len(sets[i] & sets[j]) >= 3 * len(sets[i] | sets[j])]
+    found = {}
+    for i, c in components(links, range(len(rows))).items():
+        found.setdefault(c, []).append(rows[i])
+    return [min(g, key=lambda r: (r[0] is None, r[0] or 0)) for g in found.values()]
+
+
+def test_pipeline_equals_plain_python(spark, small_corpus):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    stage = dict(corpus_pipeline.STAGES)
+    docs = spark.read.parquet(f"{small_corpus}/documents.parquet")
+    listed = lambda df: sorted(((r["doc_id"], r["text"], r["lang"], r["source"]) for r in df.collect()), key=str)
+    kept, rows = docs, listed(docs)
+    for name, plain in (("quality rules", plain_rules), ("quality classifier", None), ("n-gram Jaccard join", plain_groups), ("mixing sources to target weights", None)):
+        out = spark_io.written(stage[name](spark, kept, small_corpus))
+        assert out.columns == docs.columns and {r["a.b"] for r in out.select("`a.b`").distinct().collect()} == {"x"}
+        got = listed(out)
+        if plain:
+            assert got == sorted(plain(rows), key=str), name
+        elif name == "quality classifier":
+            assert got == [r for r in rows if (r[1] or "").startswith("q")]
+        else:
+            words = lambda rs: {s: sum(len(WORD.findall(r[1] or "")) for r in rs if r[3] == s) for s in {r[3] for r in rows}}
+            _, target = plain_mix([(r[0], r[3], len(WORD.findall(r[1] or "")), None) for r in rows])
+            assert set(got) <= set(rows) and all(abs(words(got)[s] - t) <= 140 for s, t in target.items())
+            assert max(collections.Counter(got).values()) <= 3
+        kept, rows = out, got
+        assert rows, name
+    packed = stage["best-fit packing"](spark, kept, small_corpus).collect()
+    assert collections.Counter(r["doc_id"] for r in packed if r["piece"] == 0) == collections.Counter(r[0] for r in rows)
+    own = {}
+    for r in packed:
+        own.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert all(sum(n for _, n in x) <= 4096 and [o for o, _ in sorted(x)] == [sum(n for o2, n in x if o2 < o) for o, _ in sorted(x)] for x in own.values())
+    key = lambda x: sorted(((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in x), key=str)
+    assert key(corpus_pipeline.run(spark, small_corpus).collect()) == key(packed)
+
+
+def test_pipeline_stages_take_empty_tables(spark, small_corpus):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    none = spark.read.parquet(f"{small_corpus}/documents.parquet").where("false")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, small_corpus).count() == 0
+
+
+def test_keep_tells_rows_apart(spark):
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (1, "q r s t u v"), (2, "a b c d e f"), (3, ""), (3, ""), (None, None), (None, None), (None, "x y z")]
+    out = jaccard_join.keep(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([(1, "a b c d e f"), (1, "q r s t u v"), (3, ""), (3, ""), (None, None), (None, None), (None, "x y z")], key=str)
+
+
 def test_pipeline_stages(spark, tiny):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{tiny}/documents.parquet")

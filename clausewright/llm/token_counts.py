@@ -38,8 +38,10 @@ class PieceLengths:
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         plain = [p for i, p in enumerate(pieces) if not (self.model.is_byte(i) or self.model.is_control(i) or self.model.is_unknown(i))]
-        kept = [self.model.encode(t, out_type=str) for t in ("a  b", " a", "ﬁ")]
-        self.splits = not any(SPACE in p.lstrip(SPACE) for p in plain) and kept == [self.model.encode("a", out_type=str) + [SPACE, SPACE + "b"], [SPACE, SPACE + "a"], self.model.encode("ﬁ", out_type=str)]
+        # spaces are kept as they are, and no character is rewritten: a ligature, a full-width letter and a loose accent come back
+        spaced = [self.model.encode(t, out_type=str) for t in ("a  b", " a")]
+        same = all(self.model.decode(self.model.encode(t)) == t for t in ("ﬁ", "Ａ", "e\u0301", "①", "a\u00a0b", "x\ty"))
+        self.splits = same and not any(SPACE in p.lstrip(SPACE) for p in plain) and spaced == [self.model.encode("a", out_type=str) + [SPACE, SPACE + "b"], [SPACE, SPACE + "a"]]
         self.known: dict[str, int] = {"": 0}
 
     def parts(self, text: str) -> list[str]:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from clausewright.llm import packing, quality_classifier, quality_rules, token_counts
 from clausewright.llm.queries import vocabulary
 
-from .brute import statistics
+from .brute import WORD, statistics
 
 ODD = ["a", "b", "é ", "\n", "\t", "x#", " ", "日", " ab", "　", "\x0b", "$$", "the the", "\r\n", "</s>", "<|endoftext|>", "▁", "\x1c", "İ", "1", "→", "'s"]
 
@@ -109,13 +109,77 @@ def test_classifier_edges(spark):
     assert kept.columns == docs.columns and kept.count() == 5
 
 
-def test_dual_descent_separates():
+def plain_slots(text):
+    """Slots of a text's byte n-grams and twins, one at a time."""
+    q, d, out = quality_classifier, (text or "").encode(), set()
+    for n in q.ORDERS:
+        for i in range(len(d) - n + 1):
+            h = n * 0x9E3779B1 & 0xFFFFFFFF
+            for c in d[i : i + n]:
+                h = (h ^ c) * 0x01000193 & 0xFFFFFFFF
+            h ^= h >> 15
+            out.add((h * 0x85EBCA6B & 0xFFFFFFFF) >> 32 - q.BITS)
+    w = WORD.findall((text or "").lower())
+    twins = sum(a == b for a, b in zip(w, w[1:]))
+    return out | {q.SLOTS + i for i, k in enumerate(q.TWINS) if twins >= k}
+
+
+def test_features_equal_plain_ones():
+    texts = [None, "", "a", "the the the the the cat", "Ab ab x", "é日\n\n$$", "word " * 20]
+    got = [set(r.tolist()) for r in quality_classifier.features(pa.array(texts))]
+    assert got == [plain_slots(t) for t in texts]
+    for r in ([], [3, 7], list(range(0, quality_classifier.DIMS, 2))):
+        rows = quality_classifier.Rows([quality_classifier.Rows.pack(np.array(r, np.int64))])
+        assert rows[0].tolist() == r and len(rows.packed[0]) <= quality_classifier.DIMS // 8 + 2
+
+
+def small_problem():
     rng = np.random.default_rng(0)
-    rows = [np.unique(np.append(rng.integers(0, 50, 8), 60 + k)) for k in ([1] * 40 + [0] * 40)]
     y = np.array([1] * 40 + [0] * 40)
-    ratio = quality_classifier.log_count_ratio(rows, y)
-    w = quality_classifier.dual_descent(rows, ratio, y, np.ones(80))
-    assert ((quality_classifier.margins(rows, ratio, w) > 0) == (y == 1)).all()
+    rows = [np.unique(np.concatenate([rng.integers(0, 50, 8), 60 + rng.integers(0, 3, 1) + 3 * (k if rng.random() < 0.9 else 1 - k)])) for k in y]
+    return quality_classifier.Rows([quality_classifier.Rows.pack(r) for r in rows]), rows, y
+
+
+def test_ratio_equals_counting():
+    packed, rows, y = small_problem()
+    ratio = quality_classifier.log_count_ratio(packed, y)
+    count = lambda j, k: 1 + sum(j in r for r, label in zip(rows, y, strict=True) if label == k)
+    total = {k: quality_classifier.DIMS + sum(len(r) for r, label in zip(rows, y, strict=True) if label == k) for k in (0, 1)}
+    assert all(abs(ratio[j] - np.log(count(j, 1) / total[1] / (count(j, 0) / total[0]))) < 1e-12 for j in (0, 7, 60, 63, 99))
+
+
+def test_dual_descent_reaches_the_optimum():
+    packed, rows, y = small_problem()
+    ratio = quality_classifier.log_count_ratio(packed, y)
+    w = quality_classifier.dual_descent(packed, ratio, y, np.ones(80), passes=400, least=1e-9)
+    x = np.zeros((80, 101))
+    for i, r in enumerate(rows):
+        x[i, r] = ratio[r] / np.sqrt((ratio[r] ** 2).sum())
+    x[:, 100] = 1.0
+    own = np.append(w[:100], w[quality_classifier.DIMS])
+    sign = np.where(y == 1, 1.0, -1.0)
+    objective = lambda v: v @ v / 2 + np.maximum(0, 1 - sign * (x @ v)).sum()
+    # the dual by projected gradient on the whole matrix; its value bounds the primal from below
+    gram, alpha = (sign[:, None] * x) @ (sign[:, None] * x).T, np.zeros(80)
+    step = 1 / np.linalg.eigvalsh(gram)[-1]
+    for _ in range(20_000):
+        alpha = np.clip(alpha - step * (gram @ alpha - 1), 0, 1)
+    bound = alpha.sum() - alpha @ gram @ alpha / 2
+    assert bound - 1e-6 <= objective(own) <= bound * 1.001
+    assert abs(quality_classifier.margins(packed, ratio, w) - x @ own).max() < 1e-9
+    # the passes that production takes
+    rough = quality_classifier.dual_descent(packed, ratio, y, np.ones(80))
+    assert objective(np.append(rough[:100], rough[quality_classifier.DIMS])) <= bound * 1.05
+
+
+def test_scores_equal_the_formula():
+    texts = ["good words here", "bad bad bad bad bad", "", "more good words", "bad things bad bad"] * 6
+    y = np.array([1, 0, 1, 1, 0] * 6)
+    rows = [np.array(sorted(plain_slots(t)), np.int64) for t in texts]
+    model, bias = quality_classifier.fit(quality_classifier.Rows([quality_classifier.Rows.pack(r) for r in rows]), y)
+    for t, r, s in zip(texts, rows, quality_classifier.score_texts(pa.array(texts), model, bias), strict=True):
+        m = bias + (model[0][r].sum() / np.sqrt(model[1][r].sum()) if len(r) else 0.0)
+        assert abs(s - 1 / (1 + np.exp(-m))) < 1e-5, t
 
 
 @pytest.mark.parametrize("name", ["piece_bpe_32k.model", "byte_bpe_50k.json"])

@@ -124,7 +124,7 @@ def _projected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def cells(classes: DataFrame, gap: float, most: int = CELL) -> DataFrame:
     """(cell, key, v, mult, mask): every class in one cell or, near a split, in more; mask marks the splits where it stands below too."""
-    rows = cut(classes.mapInArrow(_projected, "key long, cell long, v array<float>, mult long, at array<double>").withColumn("mask", F.lit(0).cast("long")))
+    rows = cut(classes.mapInArrow(_projected, f"key long, cell long, v {classes.schema['v'].dataType.simpleString()}, mult long, at array<double>").withColumn("mask", F.lit(0).cast("long")))
     idle, reach = 0, MARGIN * gap
     for level in range(SPLITS):
         value = F.col("at")[level]
@@ -155,8 +155,9 @@ def cells(classes: DataFrame, gap: float, most: int = CELL) -> DataFrame:
 def dedup(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """(id, n_links, component_id, kept) for every row."""
     v, gap = F.col(vector_col), sqrt(2 - 2 * threshold)
+    kind = "array<float>" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "array<double>"
     sound = F.col(label_col).isNotNull() & F.coalesce((F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & (F.abs(x) < float("inf")) & ~F.isnan(x)) & F.exists(v, lambda x: x != 0), F.lit(False))
-    rows = vectors.select(F.col(id_col).alias("id"), F.when(sound, F.xxhash64(F.col(label_col), F.size(v), v)).alias("key"), F.col(label_col).alias("label"), v.cast("array<float>").alias("v"))
+    rows = vectors.select(F.col(id_col).alias("id"), F.when(sound, F.xxhash64(F.col(label_col), F.size(v), v)).alias("key"), F.col(label_col).alias("label"), v.cast(kind).alias("v"))
     classes = written(rows.where("key is not null").groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("mult"), F.min_by("v", "id").alias("v"), F.min("label").alias("label")))
     dealt = cells(classes.select("key", F.xxhash64("label", F.size("v")).alias("cell"), "v", "mult", F.size("v").alias("dim")), gap)
     sizes = dealt.groupBy("cell").agg(F.count("*").alias("c")).select("cell", F.ceil(F.col("c") / CELL).cast("int").alias("blocks"))

@@ -324,6 +324,15 @@ def test_embeddings_equal_brute_force(spark, monkeypatch, cell):
     assert embedding_dedup.dedup(df.where("false")).count() == 0
 
 
+def test_double_precision_and_ties(spark):
+    near, at = np.arccos(0.98 + 2e-10), np.arccos(0.98 - 2e-10)
+    rows = [(1, [1.0, 0.0], 1), (2, [float(np.cos(near)), float(np.sin(near))], 1), (3, [1.0, 0.0], 2), (4, [float(np.cos(at)), float(np.sin(at))], 2), (5, [1e-60, 0.0], 3), (6, [1.0, 0.0], 3), (7, [4.0, 3.0], 4), (8, [8.0, 6.0], 4)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r["component_id"] for r in embedding_dedup.dedup(df).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 5, 7: 7, 8: 7}
+    assert {r["n_links"] for r in embedding_dedup.dedup(df.where("vec_id = 4")).collect()} == {0}
+
+
 def test_needed_collisions():
     c = embedding_dedup.needed_collisions()
     rng = np.random.default_rng(0)

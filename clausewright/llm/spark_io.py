@@ -40,25 +40,22 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: A key with one of so many rows or more is hot; there are at most so many of them.
-HOT = 1000
+#: A key with one of so many rows or more is hot; there are at most so many of them. Their rows go to so many places.
+HOT, SALTS = 1000, 64
 
 
 def joined_with_hot_keys(rows: DataFrame, facts: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
-    """``rows`` joined with ``facts``, one row per key and its number of ``rows`` as ``load``, out of ``total``.
+    """``rows`` joined with ``facts``, one row per key with its number of ``rows`` as ``load``, out of ``total``.
 
-    Facts of hot keys are at most ``HOT`` rows, so they are broadcast and their rows stay where
-    they are; only the other keys are shuffled. A null key joins with nothing.
+    The hot keys, at most ``HOT`` whatever the size, come to the driver; their rows, and rows without
+    key, are dealt over ``SALTS`` places, to each of which the facts of hot keys are copied.
     """
-    hot = F.col("load") * HOT >= total
-    few = facts.where(hot).drop("load")
-    rest = facts.where(~hot).drop("load")
-    is_hot = few.select(F.col(key).alias("__key"), F.lit(True).alias("__hot"))
-    marked = rows.join(F.broadcast(is_hot), F.col(key) == F.col("__key"), "left").drop("__key")
-    away = F.col("__hot") if how == "inner" else F.col("__hot") | F.col(key).isNull()
-    one = marked.where(away).drop("__hot").join(F.broadcast(few), key, how)
-    two = marked.where(F.col("__hot").isNull() & F.col(key).isNotNull()).drop("__hot").join(rest, key, how)
-    return one.unionByName(two)
+    hot = [r[0] for r in facts.where(F.col("load") * HOT >= max(total, 1)).select(key).collect()]
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False)) if hot else F.lit(False)
+    place = F.pmod(F.xxhash64(F.lit(5), *rows.columns), F.lit(SALTS)).cast("int")
+    dealt = rows.withColumn("__salt", F.when(is_hot | F.col(key).isNull(), place).otherwise(0))
+    copied = facts.drop("load").withColumn("__salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    return dealt.join(copied, [key, "__salt"], how).drop("__salt")
 
 
 def lower_ascii(c: Column) -> Column:

@@ -118,8 +118,8 @@ def with_findings(documents: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def exposure(risks: DataFrame, jurisdictions: DataFrame) -> DataFrame:
-    """(document, regulation, line) for every audited pair, scored or not."""
-    pairs = risks.select("document").distinct().join(F.broadcast(jurisdictions.select("regulation").distinct().limit(1000)))
+    """(document, regulation, line) for every audited pair, scored or not: as many rows as documents times regulations, which is the report."""
+    pairs = risks.select("document").distinct().crossJoin(jurisdictions.select("regulation").distinct())
     return pairs.join(risks.select("document", "regulation", "risk"), ["document", "regulation"], "left").select("document", "regulation", T.exposure_line(F.col("regulation"), F.col("risk")).alias("line"))
 
 

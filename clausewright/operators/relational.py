@@ -18,9 +18,11 @@ def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[str | Col
     return df.withColumn("rank", F.row_number().over(W.partitionBy(*group).orderBy(*order))).where(F.col("rank") <= n)
 
 
-def interleave(df: DataFrame, batch_col: str, pos_col: str, cap: int) -> DataFrame:
-    """Round robin over batches: the first of each, then the second of each, up to ``cap`` rows in all."""
-    turn = df.withColumn("turn", F.row_number().over(W.partitionBy(batch_col).orderBy(pos_col)))
+def interleave(df: DataFrame, batch_col: str, pos_col: str, cap: int, by: Sequence[str] = ()) -> DataFrame:
+    """Round robin over batches: the first of each, then the second of each, up to ``cap`` rows in all, or of each ``by``."""
+    turn = df.withColumn("turn", F.row_number().over(W.partitionBy(*by, batch_col).orderBy(pos_col)))
+    if by:
+        return top_per_group(turn.where(F.col("turn") <= cap), by, ["turn", batch_col], cap).drop("rank")
     return turn.orderBy("turn", batch_col).limit(cap)
 
 
@@ -50,7 +52,10 @@ def merged_history(local: DataFrame, server: DataFrame, keys: Sequence[str]) ->
 
 
 def upsert(base: DataFrame, changes: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
-    """MERGE: the last change of each key wins over the base, value by value where it has one; rows with a blank key are skipped."""
+    """MERGE: the first change of each key in ``order`` wins over the base, value by value where it has one; rows with a blank key are skipped.
+
+    For the last change to win, order by its time or number descending.
+    """
     whole = F.lit(True)
     for k in keys:
         whole = whole & (F.coalesce(F.trim(F.col(k).cast("string")), F.lit("")) != "")

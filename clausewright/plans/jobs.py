@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,22 +11,40 @@ from pyspark.sql import functions as F
 from .. import vocab
 from ..functions import text as T
 from ..operators import audit, chunking, graph, model, relational, search
+from ..operators.iterate import cut
 from ..sources import files
 
 
-def ingest(spark: SparkSession, source: str, index: str, done: str, extractor: Callable[[bytes], list[tuple[int, str]]], strategy: str = "token", explicit_type: str | None = None, pattern: str = "*.pdf") -> DataFrame:
-    """Files that the ledger does not know, through extraction and chunking, to the index; returns the run's summary row."""
-    found, _ = files.accepted(files.discover(spark, source, pattern), suffix=pattern.lstrip("*"))
+def ingest(spark: SparkSession, source: str, index: str, done: str, extractor: Callable[[bytes], list[tuple[int, str]]], strategy: str = "token", explicit_type: str | None = None, pattern: str = "*.pdf", log: str | None = None) -> DataFrame:
+    """Files that the ledger does not know, through extraction and chunking, to the index; returns the run's summary row.
+
+    Pages are joined before they are chunked, so chunks are numbered per document; a document is
+    named by its path below ``source``. Documents that are ingested again replace their chunks. What
+    was rejected is in ``index``_rejected, what could not be read in ``index``_quarantine, and the
+    run's summary in ``log`` where that is given.
+    """
+    began = time.monotonic()
+    named = lambda df: df.withColumn("file_name", files.document_name(F.col("file_path"), source))
+    found, rejected = (named(x) for x in files.accepted(files.discover(spark, source, pattern), suffix=pattern.lstrip("*")))
+    rejected.write.mode("overwrite").parquet(f"{index}_rejected")
     todo = relational.pending(found, files.ledger(spark, done), ["file_path", "modified"])
-    content = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(source).select(F.col("path").alias("file_path"), "content")
+    # the scan leaves out the content of files older than the oldest that is new
+    oldest = todo.agg(F.min("modified")).head()[0]
+    content = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(source)
+    content = content.where(F.col("modificationTime") >= F.lit(oldest)).select(F.col("path").alias("file_path"), "content")
     pages = files.extract(todo.join(content, "file_path").select("file_name", "content"), extractor).persist()
-    named = pages.where("status = 'ok'").select("file_name", T.detect_regulation(F.col("file_name")).alias("regulation"), T.doc_type(F.lit(source), explicit_type).alias("doc_type"), "page", "text")
-    rows = files.chunk_rows(chunking.chunk(named, strategy), strategy)
-    bad = pages.where("status <> 'ok'").select(F.lit("").alias("chunk_id"), F.col("file_name").alias("paper_id"), "status")
-    files.upload(rows, index)
-    files.commit(todo.join(pages.where("status <> 'ok'").select("file_name"), "file_name", "left_anti"), done)
-    state = rows.select(F.col("paper_id").alias("file_name"), "status").unionByName(bad.select(F.col("paper_id").alias("file_name"), "status"))
-    return relational.ingest_summary(found, state)
+    texts = files.joined_pages(pages).withColumns({"regulation": T.detect_regulation(T.base_name(F.col("file_name"))), "doc_type": T.doc_type(F.lit(source), explicit_type)})
+    rows = files.chunk_rows(chunking.chunk(texts, strategy), strategy)
+    bad = pages.where("status <> 'ok'")
+    files.upsert(rows, index)
+    bad.write.mode("append").parquet(f"{index}_quarantine")
+    files.commit(todo.join(bad.select("file_name"), "file_name", "left_anti"), done)
+    state = rows.select(F.col("paper_id").alias("file_name"), "status").unionByName(bad.select("file_name", "status"))
+    summary = cut(relational.ingest_summary(found, state))
+    pages.unpersist()
+    if log:
+        files.log_ingestion(summary, log, time.monotonic() - began)
+    return summary
 
 
 def build_graph(docs: DataFrame, concepts: dict[str, str], conflict_model: model.Model | None = None) -> dict[str, DataFrame]:
@@ -35,8 +54,8 @@ def build_graph(docs: DataFrame, concepts: dict[str, str], conflict_model: model
     tables = graph.tables_from(found)
     if conflict_model is not None:
         texts = relational.bounded_text(articles, ["regulation"], ["article_id"], "chunk_text")
-        extra = model.value_conflicts(texts, conflict_model)
-        wide = tables["edges"].select("src", "rel", "dst", *(F.lit(None).cast("string").alias(c) for c in ("concept", "value_a", "value_b", "unit", "description", "source_quote")))
+        extra = model.value_conflicts(texts, conflict_model).withColumn("regulation", F.col("src"))
+        wide = tables["edges"].select("src", "rel", "dst", "regulation", *(F.lit(None).cast("string").alias(c) for c in ("concept", "value_a", "value_b", "unit", "description", "source_quote")))
         tables["edges"] = relational.upsert(wide, extra, ["src", "rel", "dst"], ["concept", "description"]).withColumn("eid", F.xxhash64("src", "rel", "dst"))
     return tables
 
@@ -47,10 +66,10 @@ def retrieve(questions: DataFrame, chunks: DataFrame, tables: dict[str, DataFram
     best = search.hybrid(chunks, asked, "chunk_id", "qid", "content", "content_vector", k)
     text = best.join(chunks.select(F.col("chunk_id").alias("doc"), F.col("content").alias("text")), "doc").select("query", "rank", "text")
     names = model.entities(text, entity_model)
-    terms = names.select("query", F.posexplode("entities").alias("pos", "term")).select(F.floor(F.col("pos") / 5).cast("int").alias("batch"), "term")
-    facts = graph.triples_around(tables["nodes"], tables["edges"], tables["mentions"], terms)
-    evidence = facts.agg(F.array_join(F.array_sort(F.collect_list(T.triple_text(F.col("source"), F.col("relation"), F.col("target"), F.col("regulation")))), "\n").alias("facts"), F.collect_set("regulation").alias("known"))
-    contexts = relational.joined_text(text, ["query"], ["rank"], "text", "\n\n---\n\n").join(F.broadcast(evidence)).select("query", F.concat_ws("\n\n", "context", "facts").alias("context"), "known")
+    terms = names.select("query", F.posexplode("entities").alias("pos", "term")).select("query", F.floor(F.col("pos") / 5).cast("int").alias("batch"), "term")
+    facts = graph.triples_around(tables["nodes"], tables["edges"], tables["mentions"], terms, by=["query"])
+    evidence = facts.groupBy("query").agg(F.array_join(F.array_sort(F.collect_list(T.triple_text(F.col("source"), F.col("relation"), F.col("target"), F.col("regulation")))), "\n").alias("facts"), F.collect_set("regulation").alias("known"))
+    contexts = relational.joined_text(text, ["query"], ["rank"], "text", "\n\n---\n\n").join(evidence, "query", "left").select("query", F.concat_ws("\n\n", "context", "facts").alias("context"), F.coalesce("known", F.array().cast("array<string>")).alias("known"))
     said = model.answers(questions, contexts.select("query", "context"), answer_model)
     return said.join(questions.join(contexts.select("query", "known"), "query", "left").select("query", T.detect_jurisdictions(F.col("question"), None, F.col("known")).alias("jurisdictions")), "query")
 

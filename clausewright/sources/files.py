@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,6 +44,19 @@ def page_batches(pages: DataFrame, id_col: str = "paper_id", size: int = 20) ->
     return pages.withColumn("batch", batch).groupBy(id_col, "batch").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda s: s["text"]), "\n\n").alias("text"), F.count("*").alias("n_pages"))
 
 
+def document_name(path: Column, source: str) -> Column:
+    """The path below ``source``, which tells files of one base name in different folders apart; else the base name."""
+    root = re.sub(r"^[a-z0-9]+:/*", "/", source).rstrip("/").replace("\\E", "")
+    below = F.regexp_extract(path, "\\Q" + root + "\\E/+(.*)$", 1)
+    return F.when(below != "", below).otherwise(X.base_name(path))
+
+
+def joined_pages(pages: DataFrame) -> DataFrame:
+    """(file_name, text, page): the good pages of each file in order as one text, with its first page; a file is as large as its reader could hold."""
+    good = pages.where("status = 'ok'").groupBy("file_name").agg(F.array_sort(F.collect_list(F.struct("page", "text"))).alias("p"))
+    return good.select("file_name", F.array_join(F.transform("p", lambda s: s["text"]), "\n\n").alias("text"), F.col("p")[0]["page"].alias("page"))
+
+
 def extract(files: DataFrame, extractor: Callable[[bytes], list[tuple[int, str]]], name: str = "text") -> DataFrame:
     """Runs an extractor over (file_name, content): (file_name, page, text, extractor, status, error).
 
@@ -83,9 +98,11 @@ def article_dump(articles: DataFrame, order: Sequence[str]) -> DataFrame:
 
 
 def chunk_rows(chunks: DataFrame, strategy: str) -> DataFrame:
-    """Chunks of (file_name, regulation, doc_type, chunk_index, chunk_text, page) under the chunk schema."""
+    """Chunks of (file_name, regulation, doc_type, chunk_index, chunk_text, page) under the chunk schema. Names with folders keep them in the id."""
+    name = F.col("file_name")
+    in_folder = F.format_string("%s_%04d", F.regexp_replace(name, r"\.[^./]*$", ""), F.col("chunk_index").cast("int"))
     out = chunks.select(
-        X.chunk_id(F.col("file_name"), F.col("chunk_index")).alias("chunk_id"), F.col("file_name").alias("paper_id"), "regulation", "doc_type", "chunk_text", F.col("chunk_index").cast("int").alias("chunk_index"), F.col("page").cast("int").alias("page"),
+        F.when(F.contains(name, F.lit("/")), in_folder).otherwise(X.chunk_id(name, F.col("chunk_index"))).alias("chunk_id"), F.col("file_name").alias("paper_id"), "regulation", "doc_type", "chunk_text", F.col("chunk_index").cast("int").alias("chunk_index"), F.col("page").cast("int").alias("page"),
         F.lit("text").alias("extractor"), F.lit(strategy).alias("chunk_strategy"), F.lit("ok").alias("status"), F.lit("").alias("error"),
     )
     return out.na.fill("").na.fill(-1)
@@ -97,6 +114,44 @@ def upload(chunks: DataFrame, path: str, mode: str = "append") -> None:
     good.withColumnRenamed("chunk_text", "content").write.mode(mode).partitionBy("doc_type", "regulation").parquet(path)
 
 
+def upsert(chunks: DataFrame, path: str) -> None:
+    """Chunks of documents into the index: what it has of these documents is replaced, so a batch may come twice.
+
+    Only folders that hold some of these documents are written again, from a copy that is complete
+    before they are; batches of new documents are appended.
+    """
+    spark = chunks.sparkSession
+    if not exists(spark, path):
+        upload(chunks, path)
+        return
+    known, papers = spark.read.parquet(path), chunks.select("paper_id").distinct()
+    folders = known.join(papers, "paper_id", "left_semi").select("doc_type", "regulation").distinct()
+    if not folders.take(1):
+        upload(chunks, path)
+        return
+    staged = f"{path.rstrip('/')}_staged_{uuid.uuid4().hex}"
+    upload(chunks, staged)
+    touched = folders.unionByName(chunks.select("doc_type", "regulation").distinct()).distinct()
+    rest = known.join(touched, ["doc_type", "regulation"], "left_semi").join(papers, "paper_id", "left_anti")
+    rest.select(spark.read.parquet(staged).columns).write.mode("append").partitionBy("doc_type", "regulation").parquet(staged)
+    emptied = folders.join(spark.read.parquet(staged).select("doc_type", "regulation").distinct(), ["doc_type", "regulation"], "left_anti").collect()
+    spark.read.parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("doc_type", "regulation").parquet(path)
+    for r in emptied:  # folders, as few as there are classes and regulations
+        remove(spark, f"{path.rstrip('/')}/doc_type={r['doc_type']}/regulation={r['regulation']}")
+    remove(spark, staged)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def log_ingestion(summary: DataFrame, path: str, seconds: float) -> None:
+    """Appends the summary row of an ingestion run with its time, rate and status."""
+    rate = F.col("processed") / F.greatest(F.lit(seconds), F.lit(1e-3))
+    summary.withColumns({"run_id": F.expr("uuid()"), "finished": F.current_timestamp(), "seconds": F.lit(seconds), "files_per_second": rate}).write.mode("append").parquet(f"{path}/ingestion_runs")
+
+
 def deliver(chunks: DataFrame, send: Callable[[list[dict]], None], size: int = 100) -> None:
     """Sends chunks to a service in batches from the executors."""
 
@@ -146,10 +201,11 @@ def read_graph(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {name: spark.read.parquet(f"{path}/{name}") for name in ("nodes", "edges", "mentions")}
 
 
-def log_run(run: DataFrame, metrics: DataFrame, path: str) -> None:
-    """Appends a run's parameters and its metrics in long form."""
-    run.write.mode("append").parquet(f"{path}/audit_runs")
-    metrics.write.mode("append").parquet(f"{path}/audit_metrics")
+def log_run(run: DataFrame, metrics: DataFrame, path: str, gaps: DataFrame | None = None, risk_scores: DataFrame | None = None) -> None:
+    """Appends a run's parameters, its metrics in long form, its gaps and its risk scores, each to a table of its own."""
+    for name, rows in (("audit_runs", run), ("audit_metrics", metrics), ("gaps", gaps), ("risk_scores", risk_scores)):
+        if rows is not None:
+            rows.write.mode("append").parquet(f"{path}/{name}")
 
 
 def run_history(spark: SparkSession, path: str, most: int = 50) -> DataFrame:

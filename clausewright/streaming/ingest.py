@@ -26,20 +26,21 @@ def ingest_texts(spark: SparkSession, source: str, index: str, checkpoint: str,
 
     def step(batch: DataFrame, _: int) -> None:
         cut = chunking.token_chunks(batch, "text", size, overlap).withColumn("page", F.lit(0))
-        files.upload(files.chunk_rows(cut, "token"), index)
+        files.upsert(files.chunk_rows(cut, "token"), index)
 
     incremental(spark, source, "file_name string, regulation string, doc_type string, text string", step, checkpoint)
 
 
 def ingest_files(spark: SparkSession, source: str, index: str, checkpoint: str, extractor: Callable[[bytes], list[tuple[int, str]]], pattern: str = "*.pdf") -> None:
-    """New binary files through an extractor to token chunks; failures go to a quarantine table beside the index."""
+    """New binary files through an extractor to token chunks of whole documents; failures go to a quarantine table beside the index. A batch may be tried again."""
 
-    def step(batch: DataFrame, _: int) -> None:
-        named = batch.select(F.col("path").alias("file_path"), F.regexp_extract("path", r"([^/]*)$", 1).alias("file_name"), "content")
+    def step(batch: DataFrame, number: int) -> None:
+        named = batch.select(files.document_name(F.col("path"), source).alias("file_name"), "content")
         pages = files.extract(named, extractor).persist()
-        text = pages.where("status = 'ok'").select("file_name", files.X.detect_regulation(F.col("file_name")).alias("regulation"), files.X.doc_type(F.col("file_name")).alias("doc_type"), "page", "text")
-        files.upload(files.chunk_rows(chunking.token_chunks(text, "text"), "token"), index)
-        pages.where("status <> 'ok'").write.mode("append").parquet(f"{index}_quarantine")
+        text = files.joined_pages(pages).withColumns({"regulation": files.X.detect_regulation(files.X.base_name(F.col("file_name"))), "doc_type": files.X.doc_type(F.col("file_name"))})
+        files.upsert(files.chunk_rows(chunking.token_chunks(text, "text"), "token"), index)
+        # a batch that is tried again writes its own folder again
+        pages.where("status <> 'ok'").write.mode("overwrite").parquet(f"{index}_quarantine/batch={number}")
         pages.unpersist()
 
     q = spark.readStream.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).schema("path string, modificationTime timestamp, length long, content binary").load(source)

@@ -1,5 +1,7 @@
 """Files, streams and end-to-end jobs in temporary folders."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -37,21 +39,46 @@ def test_ingest_twice(spark, folder):
     run = lambda: jobs.ingest(spark, f"{folder}/policies", f"{folder}/index", f"{folder}/ledger", reader).head().asDict()
     first = run()
     assert (first["files"], first["processed"], first["errors"], first["status"]) == (3, 2, 1, "partial")
-    assert spark.read.parquet(f"{folder}/index").count() == 3
+    assert spark.read.parquet(f"{folder}/index").count() == 2
     run()
-    assert spark.read.parquet(f"{folder}/index").count() == 3
+    assert spark.read.parquet(f"{folder}/index").count() == 2
+    assert spark.read.parquet(f"{folder}/index_quarantine").select("file_name").distinct().count() == 1
     index = spark.read.parquet(f"{folder}/index")
     assert {r["doc_type"] for r in index.collect()} == {"policy"} and "gdpr_one_0000" in {r["chunk_id"] for r in index.collect()}
 
 
+def test_documents_of_one_name_stay_apart(spark, tmp_path):
+    for d in "ab":
+        (tmp_path / "src" / d).mkdir(parents=True)
+        (tmp_path / "src" / d / "gdpr.pdf").write_bytes(f"page one of {d}\fpage two of {d}".encode())
+    (tmp_path / "src" / "gdpr.pdf").write_bytes(" ".join(f"w{i}" for i in range(600)).encode())
+    run = lambda: jobs.ingest(spark, f"{tmp_path}/src", f"{tmp_path}/index", f"{tmp_path}/ledger", reader, log=f"{tmp_path}/log").head()
+    got = run()
+    index = {r["chunk_id"]: r["content"] for r in spark.read.parquet(f"{tmp_path}/index").collect()}
+    assert (got["files"], got["processed"], got["chunks"]) == (3, 3, 4) and set(index) == {"a/gdpr_0000", "b/gdpr_0000", "gdpr_0000", "gdpr_0001"}
+    assert index["a/gdpr_0000"] == "page one of a page two of a"
+    # a changed file replaces its chunks, also where it has fewer of them
+    time.sleep(1.1)
+    (tmp_path / "src" / "gdpr.pdf").write_bytes(b"short now")
+    run()
+    index = {r["chunk_id"]: r["content"] for r in spark.read.parquet(f"{tmp_path}/index").collect()}
+    assert set(index) == {"a/gdpr_0000", "b/gdpr_0000", "gdpr_0000"} and index["gdpr_0000"] == "short now"
+    assert spark.read.parquet(f"{tmp_path}/log/ingestion_runs").count() == 2
+
+
+def test_rejected_files_are_kept(spark, folder):
+    jobs.ingest(spark, f"{folder}/policies", f"{folder}/index", f"{folder}/ledger", reader, pattern="*.{pdf,txt}", explicit_type="policy").head()
+    assert spark.read.parquet(f"{folder}/index_rejected").count() == 4
+
+
 def test_stream_of_files(spark, folder):
     go = lambda: ingest.ingest_files(spark, f"{folder}/policies", f"{folder}/s_index", f"{folder}/s_check", reader)
     go()
     go()
-    assert spark.read.parquet(f"{folder}/s_index").count() == 3 and spark.read.parquet(f"{folder}/s_index_quarantine").count() == 1
+    assert spark.read.parquet(f"{folder}/s_index").count() == 2 and spark.read.parquet(f"{folder}/s_index_quarantine").count() == 1
     (folder / "policies" / "late.pdf").write_bytes(b"late page")
     go()
-    assert spark.read.parquet(f"{folder}/s_index").count() == 4
+    assert spark.read.parquet(f"{folder}/s_index").count() == 3
 
 
 def test_jsonl_round_trip(spark, tmp_path):
@@ -105,3 +132,26 @@ def test_audit_and_answers(spark):
     q = spark.createDataFrame([(1, "what about consent in gdpr")], "query long, question string")
     got = jobs.retrieve(q, chunks, graph_tables, lambda p: ['["Article 1"]' for _ in p], lambda p: ['{"answer":"yes","gaps":[],"recommendations":["r"]}' for _ in p], k=3).head()
     assert got["answer"] == "yes" and "GDPR" in got["jurisdictions"]
+    assert dict(graph_tables["edges"].dtypes)["regulation"] == "string"
+    two = spark.createDataFrame([(1, "what of consent"), (2, "what of breaches")], "query long, question string")
+    more = {
+        "nodes": spark.createDataFrame([("Consent rule", "GDPR"), ("Breach rule", "HIPAA")], "id string, regulation string"),
+        "edges": spark.createDataFrame([("Consent rule", "REQUIRES", "form", None), ("Breach rule", "REQUIRES", "notice", None)], "src string, rel string, dst string, regulation string"),
+        "mentions": spark.createDataFrame([], "doc_id string, regulation string, node_id string"),
+    }
+    names = lambda prompts: ['["Consent"]' if "number 0" in p else '["Breach"]' for p in prompts]
+    apart = spark.createDataFrame([("c1", "consent number 0"), ("c2", "breaches only")], "chunk_id string, content string").withColumn("content_vector", model.hash_embedding(F.col("content")))
+    seen = lambda prompts: ['{"answer":"' + ("form" if "form" in p else "") + ("notice" if "notice" in p else "") + '","gaps":[],"recommendations":[]}' for p in prompts]
+    got = {r["query"]: r for r in jobs.retrieve(two, apart, more, names, seen, k=1).collect()}
+    assert got[1]["answer"] == "form" and got[2]["answer"] == "notice"
+    assert "HIPAA" not in got[1]["jurisdictions"] and "GDPR" not in got[2]["jurisdictions"]
+
+
+def test_conflict_model_keeps_the_regulation(spark):
+    docs = spark.createDataFrame([("GDPR", ARTICLES)], "regulation string, text string")
+    said = lambda prompts: ["[]" for _ in prompts]
+    t = jobs.build_graph(docs, {"breach": "Concept"}, said)
+    terms = spark.createDataFrame([(0, "1")], "batch int, term string")
+    from clausewright.operators import graph
+
+    assert {r["regulation"] for r in t["edges"].collect()} == {"GDPR"} and graph.triples_around(t["nodes"], t["edges"], t["mentions"], terms).count() == 1

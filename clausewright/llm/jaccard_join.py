@@ -47,7 +47,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .spark_io import HOT, connected_components, cut, joined_with_hot_keys, shuffle_partitions, written
-from .textnum import mix, shingle_sets, slices
+from .textnum import mix, release, shingle_sets, slices
 
 FLUSH = 2_000_000
 LOW = np.uint64((1 << 40) - 1)
@@ -128,6 +128,7 @@ def _deal(k: int, parts: int):
                     yield from flush()
                     size = 0
         yield from flush()
+        release()
 
     return run
 
@@ -166,6 +167,7 @@ def _shards(parts: int):
             order = np.lexsort((nodes, bucket))
             for p, blob in _pack(bucket[order], nodes[order], tokens[order], level[order]):
                 yield _rows(BLOB, [p], shard=[s], blob=[blob])
+        release()
 
     return run
 
@@ -208,6 +210,7 @@ def _profiles(num: int, den: int):
             m = min(500, int(keep.sum()) - a)
             lists = pa.ListArray.from_arrays(pa.array((begin[a : a + m + 1] - begin[a]).astype(np.int32)), pa.array(tokens[begin[a] : begin[a + m]]))
             yield pa.RecordBatch.from_arrays([pa.array(np.full(m, SIZE, np.int32)), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int64()), pa.array(names[keep][a : a + m].view(np.int64)), pa.array(lengths[keep][a : a + m]), lists, pa.ListArray.from_arrays(pa.array(np.arange(0, MARKS * m + 1, MARKS, dtype=np.int32)), pa.array(marks[MARKS * a : MARKS * (a + m)]))], schema=_PROFILE)
+        release()
 
     return run
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textnum import slices, text_bytes, word_hashes, word_spans
+from .textnum import release, slices, text_bytes, word_hashes, word_spans
 
 BITS = 17
 SLOTS = 1 << BITS
@@ -236,6 +236,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "tex
                 s = score_texts(b.column(own), weights, bias)
                 rest = [c for c in b.schema.names if c != "__text"]
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], [*rest, "score", "predicted"])
+        release()
 
     kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
     rows = docs.select(*(F.col(f"`{c}`") for c in keep), *([F.col(text_col).alias("__text")] if own == "__text" else []))

@@ -31,7 +31,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .spark_io import cut, written
-from .textnum import slices, text_bytes, windows, word_hashes, word_spans
+from .textnum import release, slices, text_bytes, windows, word_hashes, word_spans
 
 ALPHA = 0.01
 GAMMA = (1 + ALPHA) / (1 - ALPHA)
@@ -96,6 +96,7 @@ def text_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             for b in slices(whole, own):
                 rest = [c for c in b.schema.names if c != "__text"]
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), *(pa.array(x, pa.int64()) for x in count(b.column(own)))], [*rest, *names])
+        release()
 
     kept = list(dict.fromkeys((id_col, *keep)))
     rows = docs.select(*kept, *([F.col(text_col).alias("__text")] if own == "__text" else []))

@@ -15,6 +15,13 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_POWERS: list[np.ndarray] = []
+
+
+def release() -> None:
+    """Give freed memory back to the system at the end of a task; the worker lives on with what its pools hold."""
+    _POWERS.clear()
+    pa.default_memory_pool().release_unused()
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -24,9 +31,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_POWERS: list[np.ndarray] = []
-
-
 def _powers(n: int) -> list[np.ndarray]:
     """Powers of the base and of its inverse, up to n or more; kept at the largest size asked for."""
     if not _POWERS or len(_POWERS[0]) < n:

@@ -166,10 +166,10 @@ def gap_summary(spark, d):
     return audit.gap_summary(views.gaps(spark, d).withColumnRenamed("line", "no")).select("document", "obligation_id", F.col("no").alias("line"), "weight", F.col("line").alias("text"))
 
 
-@query("""WITH x AS (SELECT conv_id, turn, trim(role || ' states ' || substr(text, 1, 40)) AS text FROM conversations), f AS (SELECT *, row_number() OVER (PARTITION BY conv_id, lower(text) ORDER BY turn) AS rn FROM x WHERE length(text) >= 15)
+@query("""WITH x AS (SELECT conv_id, turn, regexp_replace(concat_ws(' ', role, 'states', text), '^\\s+|\\s+$', '', 'g') AS text FROM conversations), f AS (SELECT *, row_number() OVER (PARTITION BY conv_id, lower(text) ORDER BY turn) AS rn FROM x WHERE length(text) >= 15)
 SELECT conv_id AS document, printf('OBL-%04d', turn) AS id, 'GDPR' AS regulation FROM f WHERE rn = 1""")
 def obligations(spark, d):
-    t = views.table(spark, d, "conversations").select(F.col("conv_id").alias("document"), F.col("turn").alias("pos"), F.col("role").alias("source"), F.lit("states").alias("relation"), F.substring("text", 1, 40).alias("target"), F.lit("").alias("regulation"))
+    t = views.table(spark, d, "conversations").select(F.col("conv_id").alias("document"), F.col("turn").alias("pos"), F.col("role").alias("source"), F.lit("states").alias("relation"), F.col("text").alias("target"), F.lit("").alias("regulation"))
     return audit.obligations_from(t.unionAll(t), F.array(F.lit("GDPR"), F.lit("NIST"))).select("document", "id", "regulation")
 
 

@@ -65,6 +65,7 @@ def page_batches(spark, d):
     return files.page_batches(views.paged(spark, d))
 
 
-@query("SELECT doc_id AS paper_id, length(regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', '')) < 200 AS is_scanned FROM documents")
+@query("SELECT conv_id AS paper_id, coalesce(sum(length(regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g'))) FILTER (turn < 3), 0) < 200 AS is_scanned FROM conversations GROUP BY conv_id")
 def scanned_files(spark, d):
-    return files.scanned(views.table(spark, d, "documents").select(F.col("doc_id").alias("paper_id"), F.lit(1).alias("page"), "text"))
+    """Turns stand for pages; the first three decide."""
+    return files.scanned(views.paged(spark, d))

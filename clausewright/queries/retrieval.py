@@ -84,10 +84,11 @@ def target_resolution(spark, d):
     return search.resolve_targets(_questions(spark, d), _registry(spark, d), "query", "question", "explicit", "file_name")
 
 
-@query("SELECT source AS batch, string_agg(doc_id::VARCHAR, '|' ORDER BY doc_id) AS context FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents) WHERE rn <= 10 GROUP BY source")
+@query("SELECT source AS batch, md5(string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY doc_id)) AS context FROM (SELECT source, doc_id, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents) WHERE rn <= 10 GROUP BY source")
 def context_build(spark, d):
-    x = relational.top_per_group(views.table(spark, d, "documents"), ["source"], ["doc_id"], 10).select(F.col("source").alias("batch"), "doc_id", F.col("doc_id").cast("string").alias("t"))
-    return relational.joined_text(x, ["batch"], ["doc_id"], "t", "|")
+    best = relational.top_per_group(views.table(spark, d, "documents").select("source", "doc_id"), ["source"], ["doc_id"], 10)
+    texts = best.join(views.table(spark, d, "documents").select("doc_id", "text"), "doc_id").withColumnRenamed("source", "batch")
+    return relational.joined_text(texts, ["batch"], ["doc_id"], "text", "\n\n---\n\n").withColumn("context", F.md5("context"))
 
 
 @query("""WITH x AS (SELECT source, doc_id, text, coalesce(sum(length(text) + 2) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM documents)

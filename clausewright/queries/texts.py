@@ -66,24 +66,29 @@ def intent(spark, d):
     return views.table(spark, d, "conversations").select("conv_id", "turn", T.intent(x).alias("intent"), T.is_cross_document(x).alias("across"), T.needs_fresh(x).alias("recency"))
 
 
-@query("SELECT event_id, CASE WHEN props LIKE '[%' THEN 'list' ELSE 'object' END AS kind, 0 AS n_items, json_extract_string(props, '$.' || (SELECT k FROM (SELECT unnest(json_keys(props)) AS k FROM events ORDER BY event_id LIMIT 1))) AS first_value FROM events")
+_RAW = "CASE event_id % 3 WHEN 0 THEN '[' || props || ', ' || props || ']' WHEN 1 THEN props ELSE '[]' END"
+
+
+@query(f"WITH k AS (SELECT json_keys(props)[1] AS k FROM events ORDER BY event_id LIMIT 1), r AS (SELECT event_id, {_RAW} AS raw FROM events) SELECT event_id, CASE WHEN json_type(raw) = 'ARRAY' THEN 'list' ELSE 'object' END AS kind, CASE WHEN json_type(raw) = 'ARRAY' THEN json_array_length(raw) ELSE 0 END::INT AS n_items, json_extract_string(raw, '$.' || k) AS first_value, json_extract_string(raw, '$[1].' || k) AS second_item FROM r, k")
 def model_output_parse(spark, d):
-    """Objects in place of lists give no rows."""
+    """Lists, empty lists and objects in fences; objects in place of lists give no rows."""
     e = views.table(spark, d, "events")
-    key = "$." + _first_key(e)
-    fenced = F.concat(F.lit("```json\n"), F.col("props"), F.lit("\n```"))
-    return e.select("event_id", F.when(F.startswith(T.unfenced(fenced), F.lit("[")), "list").otherwise("object").alias("kind"), F.size(T.parsed_list(fenced, "struct<a:string>")).alias("n_items"), F.get_json_object(T.unfenced(fenced), key).alias("first_value"))
+    key = _first_key(e)
+    raw = F.expr(_RAW)
+    fenced = F.concat(F.lit("```json\n"), raw, F.lit("\n```"))
+    items = T.parsed_list(fenced, f"struct<`{key}`:string>")
+    kind = F.when(F.startswith(T.unfenced(fenced), F.lit("[")), "list").otherwise("object")
+    return e.select("event_id", kind.alias("kind"), F.size(items).alias("n_items"), F.get_json_object(T.unfenced(fenced), f"$.{key}").alias("first_value"), F.get(items, F.lit(1))[key].alias("second_item"))
 
 
 def _first_key(e) -> str:
     return e.orderBy("event_id").select(F.json_object_keys("props")[0]).head()[0]
 
 
-@query("""WITH q AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents)
-SELECT doc_id, array_to_string(list_distinct_in_order(w), '|') AS entities FROM q""".replace("list_distinct_in_order(w)", "list_slice(list_transform(list_filter(list_zip(range(1, least(len(w), 40) + 1), w[1:40]), lambda z: trim(regexp_replace(z[2], '\\s+', ' ', 'g')) <> '' AND list_position(list_transform(w[1:40], lambda y: trim(y, chr(10) || ' ')), trim(z[2], chr(10) || ' ')) = z[1]), lambda z: trim(z[2], chr(10) || ' ')), 1, 15)"))
+@query("""WITH w AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents), t AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM w), s AS (SELECT doc_id, regexp_replace(regexp_replace(x, '^\\s+', ''), '\\s+$', '') AS e, min(i) AS i FROM t GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS r FROM s WHERE e <> ''), g AS (SELECT doc_id, string_agg(e, '|' ORDER BY i) AS entities FROM k WHERE r <= 15 GROUP BY doc_id) SELECT doc_id, CASE WHEN text IS NOT NULL THEN coalesce(entities, '') END AS entities FROM documents LEFT JOIN g USING (doc_id)""")
 def entity_clean(spark, d):
-    w = F.slice(F.split("text", " "), 1, 40)
-    return views.table(spark, d, "documents").select("doc_id", F.array_join(T.clean_entities(w), "|").alias("entities"))
+    return views.table(spark, d, "documents").select("doc_id", F.array_join(T.clean_entities(F.split("text", " ")), "|").alias("entities"))
 
 
 @query("SELECT l_orderkey, l_linenumber, round_even(greatest(0, least(100, 100 - l_quantity / 6 * 10)), 1) AS compliance, CASE WHEN round_even(greatest(0, least(100, 100 - l_quantity / 6 * 10)), 1) >= 85 THEN 'STRONG' WHEN round_even(greatest(0, least(100, 100 - l_quantity / 6 * 10)), 1) >= 65 THEN 'MODERATE' WHEN round_even(greatest(0, least(100, 100 - l_quantity / 6 * 10)), 1) >= 40 THEN 'WEAK' ELSE 'CRITICAL' END AS rating FROM lineitem")
@@ -102,20 +107,33 @@ def anonymize_names(spark, d):
     return views.corpus(spark, d).select("doc_id", T.pseudonym(F.col("paper_id")).alias("alias"))
 
 
-@query("SELECT doc_id, replace(replace(replace(replace(replace(substr(source || ' Google zoom_privacy_policy.pdf and META', 1, 200), 'zoom_privacy_policy.pdf', 'privacy_policy_8.pdf'), 'Google', 'Policy 7'), 'META', 'Policy 2'), 'zzz', ''), 'yyy', '') AS text FROM documents")
+def _sql_pseudonyms(text: str) -> str:
+    for real, alias in vocab.POLICY_ALIASES.items():
+        loose = real.removesuffix(".pdf").replace("_", "[ _-]").replace("-privacy", "[ _-]privacy")
+        text = f"regexp_replace({text}, '{real.replace('.', '[.]')}', '{alias}', 'gi')"
+        text = f"regexp_replace({text}, '{loose}', '{alias.removesuffix('.pdf')}', 'gi')"
+    for name, alias in vocab.COMPANY_NAMES.items():
+        text = f"regexp_replace({text}, '{name}', '{alias}', 'gi')"
+    return text
+
+
+_NAMED = "coalesce(text, '') || ' Google zoom_privacy_policy.pdf, uber privacy-policy and META'"
+
+
+@query(f"SELECT doc_id, {_sql_pseudonyms(_NAMED)} AS text FROM documents")
 def anonymize_texts(spark, d):
-    return views.table(spark, d, "documents").select("doc_id", T.pseudonymize(F.concat(F.col("source"), F.lit(" Google zoom_privacy_policy.pdf and META"))).alias("text"))
+    named = F.concat(F.coalesce("text", F.lit("")), F.lit(" Google zoom_privacy_policy.pdf, uber privacy-policy and META"))
+    return views.table(spark, d, "documents").select("doc_id", T.pseudonymize(named).alias("text"))
 
 
 _LABEL = "trim(regexp_replace(regexp_replace(raw, '[_-]+', ' ', 'g'), '\\s+', ' ', 'g'))"
 
 
-@query(f"""WITH r AS (SELECT doc_id, source || '_' || substr(text, 1, 60) AS raw FROM documents), l AS (SELECT doc_id, {_LABEL} AS label FROM r)
+@query(f"""WITH r AS (SELECT doc_id, concat_ws('_', source, text) AS raw FROM documents), l AS (SELECT doc_id, {_LABEL} AS label FROM r)
 SELECT doc_id, CASE WHEN label = '' THEN 'Compliance Evidence' WHEN length(regexp_replace(label, '(?i)[^a-f0-9]', '', 'g')) >= 12 THEN 'Policy Evidence' WHEN contains(lower(label), 'gdpr') THEN 'GDPR Requirement' WHEN contains(lower(label), 'hipaa') THEN 'HIPAA Requirement' WHEN contains(lower(label), 'ccpa') THEN 'CCPA Requirement' WHEN contains(lower(label), 'nist') THEN 'NIST Control'
   WHEN contains(lower(label), 'gap') OR contains(lower(label), 'missing') THEN 'Compliance Gap' WHEN contains(lower(label), 'recommend') THEN 'Recommended Fix' WHEN length(label) > 46 THEN substr(label, 1, 43) || '...' ELSE label END AS label FROM l""")
 def graph_labels(spark, d):
-    raw = F.concat_ws("_", "source", F.substring("text", 1, 60))
-    return views.table(spark, d, "documents").select("doc_id", T.clean_label(raw).alias("label"))
+    return views.table(spark, d, "documents").select("doc_id", T.clean_label(F.concat_ws("_", "source", "text")).alias("label"))
 
 
 @query("SELECT n_name AS node, CASE WHEN contains(lower(n_name), 'risk') OR contains(lower(n_name), 'gap') THEN 'risk' WHEN ends_with(lower(n_name), '.pdf') OR contains(lower(n_name), 'policy') THEN 'policy' ELSE 'evidence' END AS category FROM nation UNION ALL SELECT DISTINCT source || '_policy.pdf', 'policy' FROM documents")

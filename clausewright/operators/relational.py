@@ -26,6 +26,25 @@ def interleave(df: DataFrame, batch_col: str, pos_col: str, cap: int, by: Sequen
     return turn.orderBy("turn", batch_col).limit(cap)
 
 
+def grams(text: Column, width: int = 3) -> Column:
+    """The distinct substrings of one to ``width`` characters."""
+    of = lambda w: F.when(F.length(text) >= w, F.transform(F.sequence(F.lit(1), F.length(text) - w + 1), lambda i: F.substring(text, i, F.lit(w)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(*(of(w) for w in range(1, width + 1))))
+
+
+def containing(texts: DataFrame, text: str, parts: DataFrame, part: str, width: int = 3) -> DataFrame:
+    """Rows of ``texts`` joined with those of ``parts`` whose string they contain, case and all; empty parts are in nothing.
+
+    An equality join of the first characters of each part with the substrings of each text finds
+    the candidates, so no cross product is made, and only substrings that start a part are
+    kept before the join. Columns of both go through; their names must differ.
+    """
+    keyed = parts.where(F.length(part) > 0).withColumn("__gram", F.substring(part, 1, width))
+    cut_up = texts.withColumn("__gram", F.explode(grams(F.col(text), width)))
+    known = cut_up.join(keyed.select("__gram").distinct(), "__gram", "left_semi")
+    return known.join(keyed, "__gram").where(F.contains(F.col(text), F.col(part))).drop("__gram")
+
+
 def batches(df: DataFrame, group: Sequence[str], order: Sequence[str | Column], size: int) -> DataFrame:
     """Adds batch: rows of a group in runs of ``size``."""
     return df.withColumn("batch", F.floor((F.row_number().over(W.partitionBy(*group).orderBy(*order)) - 1) / size).cast("int"))

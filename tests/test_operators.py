@@ -279,3 +279,26 @@ def test_jurisdictions_from_a_model(spark):
     got = {r["query"]: r["jurisdictions"] for r in model.jurisdictions(q, lambda p: ['["all"]' if x == "x" else "no list" for x in p]).collect()}
     assert got == {1: ["GDPR"], 2: ["GDPR", "CCPA", "HIPAA", "NIST"]}
     assert {r["query"]: r["jurisdictions"] for r in model.jurisdictions(q).collect()} == {1: ["GDPR"], 2: ["UNKNOWN"]}
+
+
+def test_containing_is_a_search_for_substrings(spark):
+    from clausewright.operators import relational
+
+    texts = ["", "a", "ab", "abc", "xabcx", "a.b", "aaaa", "über uns", None]
+    parts = ["", "a", "b", "ab", "abc", "bcx", "aa", ".", "ber", "zz", None]
+    t = spark.createDataFrame([(x,) for x in texts], "t string")
+    p = spark.createDataFrame([(x,) for x in parts], "p string")
+    got = sorted(tuple(r) for r in relational.containing(t, "t", p, "p").collect())
+    assert got == sorted((x, y) for x in texts if x for y in parts if y and y in x)
+
+
+def test_bm25_counts_documents_without_any_term(spark):
+    import math
+
+    from clausewright.operators import search
+
+    docs = spark.createDataFrame([(1, "red fox red"), (2, ""), (3, None), (4, "blue sky")], "doc_id int, text string")
+    asked = spark.createDataFrame([(7, "Red red?")], "item_id int, text string")
+    (row,) = search.bm25(docs, asked, "doc_id", "item_id").collect()
+    mean, idf = 5 / 4, math.log(1 + 3.5 / 1.5)
+    assert (row["query"], row["doc"]) == (7, 1) and abs(row["score"] - idf * 2 * 2.2 / (2 + 1.2 * (0.25 + 0.75 * 3 / mean))) < 1e-9

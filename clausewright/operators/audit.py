@@ -189,12 +189,26 @@ def loggable(results: DataFrame) -> DataFrame:
     return results.where((F.size("jurisdictions") > 0) & F.col("clarification").isNull())
 
 
-def results(groups: DataFrame, counts: DataFrame, risks: DataFrame) -> DataFrame:
-    """One row per document: theme groups, obligation counts and scores as nested values."""
-    g = groups.groupBy("document").agg(F.array_sort(F.collect_list(F.struct("position", "theme", "severity", "n_gaps"))).alias("gap_groups"))
+def of_targets(obligations: DataFrame, targets: DataFrame) -> DataFrame:
+    """Obligations of all target documents of each audit: the columns of ``obligations`` and audit_id. ``targets`` is (audit_id, document)."""
+    return obligations.join(targets.select("audit_id", "document").distinct(), "document")
+
+
+def results(groups: DataFrame, counts: DataFrame, risks: DataFrame, gaps: DataFrame | None = None, conflicts: DataFrame | None = None) -> DataFrame:
+    """One row per document: theme groups, obligation counts and scores as nested values, and its gaps and conflicts where they are given.
+
+    ``gaps`` has document, severity, regulation, theme and obligation_id, ``conflicts`` document, src, rel, dst and description.
+    """
+    nested = lambda df, name, *cols: df.groupBy("document").agg(F.array_sort(F.collect_list(F.struct(*cols))).alias(name))
+    g = nested(groups, "gap_groups", "position", "theme", "severity", "n_gaps")
     n = counts.groupBy("document").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("regulation", "n_obligations")))).alias("obligation_counts"))
     s = risks.groupBy("document").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("regulation", "compliance")))).alias("compliance"))
-    return n.join(g, "document", "left").join(s, "document", "left")
+    out = n.join(g, "document", "left").join(s, "document", "left")
+    if gaps is not None:
+        ranked = gaps.withColumn("__rank", F.coalesce(F.array_position(F.array(*map(F.lit, ("critical", "high", "medium", "low", "info"))), F.col("severity")), F.lit(0)))
+        worst = nested(ranked.withColumn("__rank", F.when(F.col("__rank") == 0, 6).otherwise(F.col("__rank"))), "gaps", F.col("__rank").alias("rank"), "obligation_id", "severity", "regulation", "theme")
+        out = out.join(worst, "document", "left")
+    return out if conflicts is None else out.join(nested(conflicts, "conflicts", "src", "rel", "dst", "description"), "document", "left")
 
 
 def top_groups(groups: DataFrame, n: int = 3) -> DataFrame:

@@ -96,11 +96,11 @@ def split_articles(docs: DataFrame, regulation_col: str = "regulation", text_col
     for name, header in headers.items():
         count = F.when(reg == name, F.regexp_count(F.concat(F.lit("\n"), F.col(text_col)), F.lit(header.replace(r"\n", r"(?:^|\n)", 1) if header.startswith(r"\n") else header))).otherwise(count)
     counted = trimmed.withColumn("__n", count)
-    wanted = [*docs.columns, "article_id", "heading_level", "chunk_text"]
+    wanted = [*docs.columns, "article_id", "heading_level", "chunk_index", "chunk_text"]
     out = size_chunks(counted.where(F.coalesce(F.col("__n"), F.lit(0)) < least), text_col, size).select(wanted)
     for name, header in headers.items():
         own = counted.where((F.upper(regulation_col) == name) & (F.col("__n") >= least))
-        out = out.unionByName(article_split(own, header, text_col, name in tables).select(wanted))
+        out = out.unionByName(article_split(own, header, text_col, name in tables).withColumnRenamed("article_pos", "chunk_index").select(wanted))
     return out
 
 
@@ -122,11 +122,16 @@ def semantic_chunks(docs: DataFrame, id_col: str, embed: Callable[[Column], Colu
     return grouped.groupBy(id_col, "section_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "sentence"))), lambda s: s["sentence"]), " ").alias("chunk_text")).withColumn("chunk_strategy", F.lit("semantic"))
 
 
-STRATEGIES = {"token": token_chunks, "size": size_chunks, "section": delimiter_sections}
+def _semantic(docs: DataFrame, id_col: str, embed: Callable[[Column], Column], text_col: str = "text", **options) -> DataFrame:
+    """Semantic chunks with the columns of their document; ``id_col`` tells documents apart."""
+    return semantic_chunks(docs, id_col, embed, text_col, **options).join(docs.drop(text_col), id_col)
+
+
+STRATEGIES = {"token": token_chunks, "size": size_chunks, "section": delimiter_sections, "article": split_articles, "semantic": _semantic}
 
 
 def chunk(docs: DataFrame, strategy: str, **options) -> DataFrame:
-    """By the name of a strategy; an unknown one is an error."""
+    """By the name of a strategy, numbered in chunk_index; an unknown one is an error."""
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy!r}; known: {sorted(STRATEGIES)}")
-    return STRATEGIES[strategy](docs, **options)
+    return STRATEGIES[strategy](docs, **options).withColumnRenamed("section_id", "chunk_index")

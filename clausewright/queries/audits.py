@@ -154,11 +154,21 @@ def reports(spark, d):
     return audit.reports(r, audit.document_risk(r), _groups(spark, d), ["GDPR", "CCPA", "HIPAA", "NIST"])
 
 
-@query(f"WITH {views.GAPS}, {_GROUPS}, n AS (SELECT document, string_agg(regulation || '=' || c, ',' ORDER BY regulation) AS counts FROM (SELECT document, regulation, count(*) AS c FROM obligations GROUP BY ALL) GROUP BY document) SELECT document, counts, count(theme) AS n_groups, min(theme) FILTER (position = 1) AS first_theme FROM n LEFT JOIN groups USING (document) GROUP BY document, counts")
+@query(f"WITH {views.OBLIGATIONS}, t AS (SELECT DISTINCT c_nationkey AS audit_id, 'policy_' || (c_custkey % 50) AS document FROM customer) SELECT audit_id, document, id, type FROM obligations JOIN t USING (document)")
+def audit_obligations(spark, d):
+    """An audit per nation, whose targets are the documents of its customers."""
+    t = views.table(spark, d, "customer").select(F.col("c_nationkey").alias("audit_id"), F.concat(F.lit("policy_"), F.col("c_custkey") % 50).alias("document"))
+    return audit.of_targets(views.obligations(spark, d), t).select("audit_id", "document", "id", "type")
+
+
+@query(f"WITH {views.GAPS}, {_GROUPS}, n AS (SELECT document, string_agg(regulation || '=' || c, ',' ORDER BY regulation) AS counts FROM (SELECT document, regulation, count(*) AS c FROM obligations GROUP BY ALL) GROUP BY document), l AS (SELECT document, md5(string_agg(severity || obligation_id || regulation || theme, ',' ORDER BY {_SEV}, obligation_id, severity, regulation, theme)) AS gaps FROM gaps GROUP BY document), c AS (SELECT document, count(*) AS n_conflicts FROM (SELECT DISTINCT document, regulation FROM obligations WHERE regulation <> 'CCPA') GROUP BY document) SELECT document, counts, count(theme) AS n_groups, min(theme) FILTER (position = 1) AS first_theme, any_value(gaps) AS gaps, coalesce(any_value(n_conflicts), 0) AS n_conflicts FROM n LEFT JOIN groups USING (document) LEFT JOIN l USING (document) LEFT JOIN c USING (document) GROUP BY document, counts")
 def results(spark, d):
-    out = audit.results(_groups(spark, d), audit.obligation_counts(views.obligations(spark, d)), _risks(spark, d))
+    o = views.obligations(spark, d)
+    c = o.where("regulation <> 'CCPA'").select("document", F.col("regulation").alias("src"), F.lit("CONFLICTS_WITH").alias("rel"), F.lit("CCPA").alias("dst"), F.lit("differs").alias("description")).distinct()
+    out = audit.results(_groups(spark, d), audit.obligation_counts(o), _risks(spark, d), views.gaps(spark, d), c)
     pairs = F.transform(F.array_sort(F.map_entries("obligation_counts")), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))
-    return out.select("document", F.array_join(pairs, ",").alias("counts"), F.coalesce(F.size("gap_groups"), F.lit(0)).cast("long").alias("n_groups"), F.get("gap_groups", F.lit(0))["theme"].alias("first_theme"))
+    lines = F.transform("gaps", lambda g: F.concat(g["severity"], g["obligation_id"].cast("string"), g["regulation"], g["theme"]))
+    return out.select("document", F.array_join(pairs, ",").alias("counts"), F.coalesce(F.size("gap_groups"), F.lit(0)).cast("long").alias("n_groups"), F.get("gap_groups", F.lit(0))["theme"].alias("first_theme"), F.md5(F.array_join(lines, ",")).alias("gaps"), F.when(F.col("conflicts").isNull(), 0).otherwise(F.size("conflicts")).cast("long").alias("n_conflicts"))
 
 
 @query(f"WITH {views.GAPS} SELECT document, obligation_id, line, CASE severity WHEN 'critical' THEN 10.0 WHEN 'high' THEN 7.0 WHEN 'medium' THEN 4.0 ELSE 1.0 END::DOUBLE AS weight, rpad(upper(severity), 9, ' ') || rpad(regulation, 7, ' ') || obligation_id AS text FROM gaps")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import relational
+from ..operators.iterate import shared_folder
 from ..sources import files
 from ..streaming import ingest
 from . import query, views
@@ -86,8 +87,7 @@ def obligation_batches(spark, d):
 @query(f"WITH {views.CORPUS}, c AS (SELECT * FROM corpus), w AS (SELECT doc_id, paper_id, regulation, doc_type, greatest(0, ceil((len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) - 512) / 412.0)::BIGINT) + 1 AS n FROM c) SELECT paper_id, regulation, doc_type, n AS chunks FROM w")
 def incremental_ingest(spark, d):
     """Two streaming runs over a file source; the second finds nothing new. The sink is the table that is read back."""
-    top = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    at = f"{top.rstrip('/')}/ingest-{spark.sparkContext.applicationId}-{abs(hash(d))}-{spark.range(1).select(F.unix_micros(F.current_timestamp())).head()[0]}" if top else tempfile.mkdtemp(prefix="clausewright-")
+    at = f"{shared_folder(spark).rstrip('/')}/ingest-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
     c = views.corpus(spark, d).select(F.col("paper_id").alias("file_name"), "regulation", "doc_type", "text")
     c.write.parquet(f"{at}/source")
     for _ in range(2):

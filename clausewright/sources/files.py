@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
+from ..operators.iterate import cut
 
 MANIFEST = "file_path string, file_name string, regulation string, modified timestamp, length long"
 CHUNKS = T.StructType([T.StructField(n, T.IntegerType() if n in ("chunk_index", "page") else T.StringType(), False) for n in ("chunk_id", "paper_id", "regulation", "doc_type", "chunk_text", "chunk_index", "page", "extractor", "chunk_strategy", "status", "error")])
@@ -152,20 +153,42 @@ def log_ingestion(summary: DataFrame, path: str, seconds: float) -> None:
     summary.withColumns({"run_id": F.expr("uuid()"), "finished": F.current_timestamp(), "seconds": F.lit(seconds), "files_per_second": rate}).write.mode("append").parquet(f"{path}/ingestion_runs")
 
 
-def deliver(chunks: DataFrame, send: Callable[[list[dict]], None], size: int = 100) -> None:
-    """Sends chunks to a service in batches from the executors."""
+def deliver(chunks: DataFrame, send: Callable[[list[dict]], None], size: int = 100) -> DataFrame:
+    """Sends good, non-blank chunks to a service in batches from the executors; one row: batches, uploaded, errors.
+
+    A batch that fails is counted with its chunks and the others go on. A task that is tried
+    again sends its batches again, so the service should take chunks by id.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            done = []
+            for at in range(0, len(frame), size):
+                batch = frame.iloc[at : at + size].to_dict("records")
+                try:
+                    send(batch)
+                    done.append((len(batch), 0))
+                except Exception:  # noqa: BLE001  one bad batch must not end the job
+                    done.append((0, len(batch)))
+            yield pd.DataFrame(done, columns=["uploaded", "errors"])
+
+    good = chunks.where((F.col("status") == "ok") & (X.strip(F.col("chunk_text")) != ""))
+    sent = cut(good.mapInPandas(run, "uploaded long, errors long"))
+    return sent.agg(F.count("*").alias("batches"), F.coalesce(F.sum("uploaded"), F.lit(0)).alias("uploaded"), F.coalesce(F.sum("errors"), F.lit(0)).alias("errors"))
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    """The index under its schema, without inference; vectors that were not stored are null."""
+    return spark.read.schema(INDEX).parquet(path)
+
+
+def index_count(spark: SparkSession, path: str) -> int:
+    return read_index(spark, path).count() if exists(spark, path) else 0
 
-    def run(rows) -> None:
-        batch: list[dict] = []
-        for r in rows:
-            batch.append(r.asDict())
-            if len(batch) == size:
-                send(batch)
-                batch = []
-        if batch:
-            send(batch)
 
-    chunks.foreachPartition(run)
+def with_new(existing: DataFrame, new: DataFrame) -> DataFrame:
+    """Existing and new chunks together, repeats and all; a column that only one side has is null in the other."""
+    return existing.unionByName(new, allowMissingColumns=True)
 
 
 def exists(spark: SparkSession, path: str) -> bool:

@@ -155,3 +155,43 @@ def test_conflict_model_keeps_the_regulation(spark):
     from clausewright.operators import graph
 
     assert {r["regulation"] for r in t["edges"].collect()} == {"GDPR"} and graph.triples_around(t["nodes"], t["edges"], t["mentions"], terms).count() == 1
+
+
+@pytest.mark.parametrize("strategy", ["token", "size", "section", "article", "semantic"])
+def test_every_strategy_makes_chunk_rows(spark, strategy):
+    from clausewright.operators import chunking, model
+
+    text = "Opening words.\n" + "".join(f"\nArticle {i} On things\n" + "Some words on it. " * 10 + "###" for i in range(1, 5))
+    docs = spark.createDataFrame([(f"{x}.pdf", "GDPR", "regulation", 1, text) for x in "ab"], "file_name string, regulation string, doc_type string, page int, text string")
+    options = {"id_col": "file_name", "embed": lambda c: model.hash_embedding(c, 8)} if strategy == "semantic" else {}
+    rows = files.chunk_rows(chunking.chunk(docs, strategy, **options), strategy)
+    ids = [r["chunk_id"] for r in rows.collect()]
+    assert ids and len(set(ids)) == len(ids) and {r["paper_id"] for r in rows.collect()} == {"a.pdf", "b.pdf"}
+    with pytest.raises(ValueError, match="unknown strategy"):
+        chunking.chunk(docs, "no such")
+
+
+def test_delivery_counts_failed_batches(spark, tmp_path):
+    out = tmp_path / "sent"
+    out.mkdir()
+
+    def send(batch: list[dict]) -> None:
+        if any(r["chunk_id"] == "bad" for r in batch):
+            raise OSError("refused")
+        (out / batch[0]["chunk_id"]).write_text(str(len(batch)))
+
+    rows = [(f"c{i}", "words", "ok") for i in range(5)] + [("bad", "words", "ok"), ("blank", " ", "ok"), ("off", "words", "error")]
+    chunks = spark.createDataFrame(rows, "chunk_id string, chunk_text string, status string").coalesce(1)
+    assert files.deliver(chunks, send, 2).head().asDict() == {"batches": 3, "uploaded": 4, "errors": 2}
+    assert sorted(p.name for p in out.iterdir()) == ["c0", "c2"]
+    assert files.deliver(chunks.limit(0), send).head().asDict() == {"batches": 0, "uploaded": 0, "errors": 0}
+
+
+def test_index_is_read_under_its_schema(spark, folder):
+    assert files.index_count(spark, f"{folder}/index") == 0
+    jobs.ingest(spark, f"{folder}/policies", f"{folder}/index", f"{folder}/ledger", reader)
+    index = files.read_index(spark, f"{folder}/index")
+    assert files.index_count(spark, f"{folder}/index") == 2 and index.where("content_vector is null").count() == 2
+    new = index.limit(1).drop("content_vector").withColumn("score", F.lit(1.0))
+    both = files.with_new(index, new)
+    assert both.count() == 3 and both.where("score is null").count() == 2

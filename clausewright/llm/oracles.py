@@ -102,6 +102,15 @@ k AS (SELECT *, sum(size) OVER (PARTITION BY source, part > 0 ORDER BY u / (1 -
 SELECT doc_id, size, source_size, target, (whole + CASE WHEN part > 0 AND fits THEN 1 ELSE 0 END) * size AS taken FROM k
 """
 
+OP11 = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, v.vec_id AS id, a.label = v.label AS same, list_dot_product(a.x, v.x)::BIGINT AS score FROM v a JOIN v ON a.vec_id % 100 = 0 AND a.vec_id <> v.vec_id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.id)::INTEGER AS rank, s.id AS negative_id, positive_score, s.score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * s.score AND s.score <= positive_score QUALIFY rank <= 5
+"""
+
 _G = quality_rules.GAMMA
 _SMALL = quality_rules.SMALLEST
 
@@ -143,4 +152,4 @@ FROM x LEFT JOIN wide ON x.lang IS NOT DISTINCT FROM wide.lang AND x.source IS N
 """
 
 
-ORACLES = {"op1_jaccard_join": OP1, "op3_url_filter": OP3, "op4_chat_format": OP4, "op7_embedding_dedup": OP7, "op8_source_mix": OP8, "op9_quality_rules": _op9()}
+ORACLES = {"op1_jaccard_join": OP1, "op3_url_filter": OP3, "op4_chat_format": OP4, "op7_embedding_dedup": OP7, "op8_source_mix": OP8, "op9_quality_rules": _op9(), "op11_hard_negatives": OP11}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, embedding_dedup, html_extract, jaccard_join, packing, quality_classifier, quality_rules, source_mix, token_counts, url_filter
+from . import chat_format, context_tree, embedding_dedup, hard_negatives, html_extract, jaccard_join, packing, quality_classifier, quality_rules, source_mix, token_counts, url_filter, whitening
 
 
 def vocabulary(name: str):
@@ -77,6 +77,22 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every hundredth row asks; every seventh row is given the label after its own."""
+    number = F.col("vec_id")
+    label = F.when(number % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(_table(spark, sf_dir, "embeddings"), number % 100 == 0, label, lambda x: F.floor(256 * x))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from the texts whose crc32(doc_id) mod 5 is not 1."""
+    return context_tree.score(_table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1)
+
+
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_quality_classifier": op2_quality_classifier,
@@ -88,4 +104,7 @@ QUERIES = {
     "op8_source_mix": op8_source_mix,
     "op9_quality_rules": op9_quality_rules,
     "op10_token_counts": op10_token_counts,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_whitening": op12_whitening,
+    "op13_lm_score": op13_lm_score,
 }

@@ -76,11 +76,36 @@ def word_spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, at)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool) -> np.ndarray:
-    up, down = _powers(len(data) + 1)
+def lower(data: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z lower-cased."""
+    return _LOWER[data]
+
+
+def _summed(data: np.ndarray, up: np.ndarray) -> np.ndarray:
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[_LOWER[data] if lower else data] * up[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    np.cumsum(_BYTE[data] * up[: len(data)], out=total[1:])
+    return total
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool, most: int = 1 << 19) -> np.ndarray:
+    """A hash of each word; bytes are read in runs of whole words of about ``most`` bytes, a longer word in parts."""
+    up, down = _powers(most + 1)
+    out = np.empty(len(starts), np.uint64)
+    fold = (lambda x: _LOWER[x]) if lower else (lambda x: x)
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + most, "right")))
+        a, b = int(starts[i]), int(ends[j - 1])
+        if b - a <= most:
+            total = _summed(fold(data[a:b]), up)
+            out[i:j] = (total[ends[i:j] - a] - total[starts[i:j] - a]) * down[starts[i:j] - a]
+        else:
+            value = 0
+            for at in range(a, b, most):
+                value += int(_summed(fold(data[at : min(at + most, b)]), up)[-1]) * pow(_BASE, at - a, 2**64)
+            out[i] = value % 2**64
+        i = j
+    return mix(out + (ends - starts).astype(np.uint64))
 
 
 def windows(words: np.ndarray, k: int) -> np.ndarray:

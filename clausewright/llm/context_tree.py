@@ -12,15 +12,16 @@ code length per byte, the end counted.
 Only distinct grams (context and byte, one integer) travel:
 
 * Tasks cut texts into pieces and deal these into blocks of at most ``BLOCK`` bytes. A block
-  sends its distinct grams with their training counts, packed by shard; a shard is a
-  subtree, the contexts that share the two nearest bytes, or three where two are hot.
-* A shard merges the counts of all blocks, computes its subtree from the leaves up, and
-  sends what its root passes on. The nodes above all shards, at most
+  sends its distinct grams with their training counts, packed by lot. A lot holds whole
+  subtrees: the contexts that share the two nearest bytes, or three where two are hot.
+  There are ``LOTS`` lots for each shuffle partition, which has to grow with the corpus.
+* A lot merges the counts of all blocks, computes its subtrees from the leaves up, and
+  sends what their roots pass on. The nodes above all subtrees, at most
   ``256 * (1 + 256 + HOT)`` rows, are finished on the driver and broadcast.
-* Shards answer each block with the log probabilities of its grams, in order; the block,
+* Lots answer each block with the log probabilities of its grams, in order; the block,
   met with its own texts again, adds them up. Parts of long texts are summed at the end.
 
-So a task holds one block, or the distinct grams of one shard, whatever a key's share of
+So a task holds one block, or the distinct grams of one lot, whatever a key's share of
 the corpus. The counts are over all training texts, exact, and grow with them. The words of
 the unigram base travel the same way, as hashes of 63 bits: two of w different words share
 one with a chance of about w^2 / 2^64.
@@ -43,14 +44,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .spark_io import written
-from .textnum import lower, text_bytes, word_hashes, word_spans
+from .spark_io import shuffle_partitions, written
+from .textnum import lower, mix, text_bytes, word_hashes, word_spans
 
 DEPTH = 5
 BLOCK, PIECE, SLICE = 32 << 20, 1 << 20, 1 << 20
 EDGE = 0xFF
 END = 1
 HOT = 200
+LOTS = 4
 _BITS = 8 * DEPTH
 _CODEC = pa.Codec("zstd", 1)
 _TABLE = 1 << 16
@@ -142,7 +144,7 @@ class Top:
     b: np.ndarray
     f: np.ndarray
 
-    def mixed(self, parent: int, byte: np.ndarray, j: int, p: np.ndarray) -> np.ndarray:
+    def mixed(self, parent: np.ndarray, byte: np.ndarray, j: int, p: np.ndarray) -> np.ndarray:
         at = np.searchsorted(self.key, (parent << 8) | byte)
         return np.where(np.isnan(p), self.f[at, j], self.a[at, j] + self.b[at, j] * p)
 
@@ -216,6 +218,18 @@ def distinct(key: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return key[first], np.add.reduceat((both & np.uint64(1)).astype(np.int64), first)
 
 
+def looked_up(key: np.ndarray, value: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """The value of each asked gram, which is among the sorted ``key``; asked for in order, some at a time, which is kinder to caches."""
+    out, some = np.empty(len(asked)), 1 << 16
+    for i in range(0, len(asked), some):
+        part = asked[i : i + some].astype(np.uint64)
+        both = np.sort(part << np.uint64(16) | np.arange(len(part), dtype=np.uint64))
+        gram = (both >> np.uint64(16)).astype(np.int64)
+        first = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+        out[i + (both & np.uint64(0xFFFF)).astype(np.int64)] = np.repeat(value[np.searchsorted(key, gram[first])], np.diff(first, append=len(gram)))
+    return out
+
+
 class Tally:
     """Distinct keys and training counts, merged whenever what waits has outgrown what is merged."""
 
@@ -267,18 +281,18 @@ class Pieces:
         return np.concatenate([hashes, np.full(len(over), END)]), np.concatenate([np.repeat(np.arange(len(self.data)), np.diff(first)), over])
 
 
-def cut_text(text: np.ndarray) -> Iterator[tuple[bytes, np.ndarray, bool]]:
-    """Pieces of about ``PIECE`` bytes that end before white space, each with the bytes before it; a longer word stays whole."""
+def cut_text(text: np.ndarray, most: int = PIECE) -> Iterator[tuple[bytes, np.ndarray, bool]]:
+    """Pieces of about ``most`` bytes that end before white space, each with the bytes before it; a longer word stays whole."""
     space, low = (text == 0x20) | ((text >= 0x09) & (text <= 0x0D)), 0
     while True:
-        high = low + PIECE
+        high = low + most
         if high >= len(text):
             high = len(text)
         else:
-            rest = np.flatnonzero(space[high : high + PIECE])
+            rest = np.flatnonzero(space[high : high + most])
             while len(rest) == 0 and high < len(text):
-                high = min(high + PIECE, len(text))
-                rest = np.flatnonzero(space[high : high + PIECE])
+                high = min(high + most, len(text))
+                rest = np.flatnonzero(space[high : high + most])
             high += int(rest[0]) if len(rest) else 0
         before = text[max(0, low - DEPTH) : low].tobytes()
         yield bytes([EDGE]) * (DEPTH - len(before)) + before, text[low:high], high == len(text)
@@ -303,7 +317,24 @@ def _cuts(label: np.ndarray) -> list[tuple[int, int]]:
     return [(i, j) for i, j in zip(edge[:-1], edge[1:], strict=True) if i < j]
 
 
-_TEXTS = "block long, uid long, id long, held boolean, piece long, before binary, data binary, last boolean, shard int, size long, key binary, n binary"
+#: What a row of keys is: words, subtrees of two bytes, subtrees of three; and the sizes of the subtrees of a block.
+WORDS, TWO, THREE, SIZES = 0, 2, 3, 9
+
+
+def places(key: np.ndarray, kind: int, lots: int) -> np.ndarray:
+    """The lot of each key; grams of one subtree are in one lot."""
+    subtree = key if kind == WORDS else key >> (_BITS - 8 * (kind - 1))
+    return (mix(subtree.astype(np.uint64) + np.uint64(kind)) % np.uint64(lots)).astype(np.int64)
+
+
+def dealt(key: np.ndarray, lots: int, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For sorted grams their first lot, kind and last lot: those of hot subtrees are dealt again by three bytes."""
+    first = places(key, TWO, lots)
+    again = np.isin(key >> (_BITS - 8), hot)
+    return first, np.where(again, THREE, TWO), np.where(again, places(key, THREE, lots), first)
+
+
+_TEXTS = "block long, uid long, id long, held boolean, piece long, before binary, data binary, last boolean, kind int, lot int, key binary, n binary"
 
 
 def _arrow(kinds: str) -> pa.Schema:
@@ -311,159 +342,172 @@ def _arrow(kinds: str) -> pa.Schema:
     return pa.schema([(name, of[kind]) for name, kind in (c.split() for c in kinds.split(", "))])
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pieces as rows, and the distinct grams (shard 0 or more) and words (below) of each block."""
-    part, schema = TaskContext.get().partitionId(), _arrow(_TEXTS)
-    row = block = held_bytes = 0
-    tallies, pending, train, rows = (Tally(), Tally()), ([], [], []), [], []
-
-    def count() -> None:
-        pieces = Pieces(*pending)
-        flags = np.array(train)
-        for key, owner in pieces.grams():
-            tallies[0].add(*distinct(key, flags[owner]))
-        words, owner = pieces.words()
-        tallies[1].add(*distinct(words, flags[owner]))
-        for x in (*pending, train):
-            x.clear()
-
-    def sent() -> Iterator[pa.RecordBatch]:
-        nonlocal rows
-        if rows:
-            yield pa.RecordBatch.from_pylist(rows, schema)
-            rows = []
+def _by_lot(key: np.ndarray, n: np.ndarray, place: np.ndarray) -> Iterator[tuple[int, bytes, bytes]]:
+    order = np.argsort(place, kind="stable")
+    key, n, place = key[order], n[order], place[order]
+    for i, j in _cuts(place):
+        yield int(place[i]), packed(key[i:j]), packed(n[i:j])
 
-    def closed() -> None:
-        nonlocal tallies, block, held_bytes
-        name = (part << 32) | block
-        for tally, shift, sign in ((tallies[0], _BITS - 8, 1), (tallies[1], 55, -1)):
-            key, n = tally.result()
-            shard = key >> shift
-            for i, j in _cuts(shard):
-                rows.append({"block": name, "shard": int(shard[i]) if sign > 0 else -1 - int(shard[i]), "size": j - i, "key": packed(key[i:j]), "n": packed(n[i:j])})
-        tallies, block, held_bytes = (Tally(), Tally()), block + 1, 0
-
-    waiting = 0
-    for b in batches:
-        data, at = text_bytes(b.column("text"))
-        ids, held = b.column("id").to_pylist(), b.column("held").to_pylist()
-        for i in range(b.num_rows):
-            uid, row = (part << 40) | row, row + 1
-            for piece, (before, text, last) in enumerate(cut_text(lower(data[at[i] : at[i + 1]]))):
-                rows.append({"block": (part << 32) | block, "uid": uid, "id": ids[i], "held": held[i], "piece": piece, "before": before, "data": text.tobytes(), "last": last})
-                for x, y in zip(pending, (before, text, last), strict=True):
-                    x.append(y)
-                train.append(not held[i])
-                waiting += len(text) + 1
-                held_bytes += len(text) + 1
-                if waiting >= SLICE:
-                    count()
-                    waiting = 0
-                    yield from sent()
-                if held_bytes >= BLOCK:
-                    if pending[0]:
+
+def _blocks(lots: int, most: int, piece: int):
+    """Pieces as rows, and the distinct grams and words of each block by lot."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, schema = TaskContext.get().partitionId(), _arrow(_TEXTS)
+        row = block = in_block = waiting = 0
+        tallies, pending, train, rows = (Tally(), Tally()), ([], [], []), [], []
+
+        def count() -> None:
+            nonlocal waiting
+            if not train:
+                return
+            pieces, flags = Pieces(*pending), np.array(train)
+            for key, owner in pieces.grams():
+                tallies[0].add(*distinct(key, flags[owner]))
+            words, owner = pieces.words()
+            tallies[1].add(*distinct(words, flags[owner]))
+            for x in (*pending, train):
+                x.clear()
+            waiting = 0
+
+        def closed() -> None:
+            nonlocal tallies, block, in_block
+            count()
+            if in_block:
+                name = (part << 32) | block
+                (key, n), (word, times) = tallies[0].result(), tallies[1].result()
+                subtree = key >> (_BITS - 8)
+                edge = np.array([i for i, _ in _cuts(subtree)])
+                rows.append({"block": name, "kind": SIZES, "key": packed(subtree[edge]), "n": packed(np.diff(edge, append=len(key)))})
+                for kind, k, c in ((TWO, key, n), (WORDS, word, times)):
+                    rows.extend({"block": name, "kind": kind, "lot": lot, "key": x, "n": y} for lot, x, y in _by_lot(k, c, places(k, kind, lots)))
+                tallies, block, in_block = (Tally(), Tally()), block + 1, 0
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            nonlocal rows
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, schema)
+                rows = []
+
+        for b in batches:
+            data, at = text_bytes(b.column("text"))
+            ids, held = b.column("id").to_pylist(), b.column("held").to_pylist()
+            for i in range(b.num_rows):
+                uid, row = (part << 40) | row, row + 1
+                for number, (before, text, last) in enumerate(cut_text(lower(data[at[i] : at[i + 1]]), piece)):
+                    rows.append({"block": (part << 32) | block, "uid": uid, "id": ids[i], "held": held[i], "piece": number, "before": before, "data": text.tobytes(), "last": last})
+                    for x, y in zip(pending, (before, text, last), strict=True):
+                        x.append(y)
+                    train.append(not held[i])
+                    waiting, in_block = waiting + len(text) + 1, in_block + len(text) + 1
+                    if in_block >= most:
+                        closed()
+                    elif waiting >= SLICE:
                         count()
-                        waiting = 0
-                    closed()
-                    yield from sent()
-    if pending[0]:
-        count()
-    if held_bytes:
+                    if waiting == 0:
+                        yield from sent()
         closed()
-    yield from sent()
+        yield from sent()
+
+    return run
 
 
-# --- Shards
+# --- Lots
+
+
+def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each subtree of two bytes how many grams the blocks send."""
+    tally = Tally()
+    for b in batches:
+        for key, n in zip(b.column("key").to_pylist(), b.column("n").to_pylist(), strict=True):
+            tally.add(unpacked(key), unpacked(n))
+    yield pa.RecordBatch.from_arrays([pa.array(x) for x in tally.result()], ["subtree", "size"])
+
 
+_ASKED = "block long, kind int, lot int, first int, key binary, n binary"
 
-def _dealt(hot: frozenset[int]):
-    """Rows of hot shards are split by the third byte."""
+
+def _dealt_again(lots: int, hot: np.ndarray):
+    """Grams of hot subtrees get their kind and lot by three bytes; ``first`` is the lot they had."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine = set(places(hot << (_BITS - 8), TWO, lots).tolist())
         for b in batches:
-            if not any(s in hot for s in b.column("shard").to_pylist()):
-                yield b
-                continue
             rows = []
             for r in b.to_pylist():
-                if r["shard"] not in hot:
-                    rows.append(r)
+                if r["kind"] == WORDS or r["lot"] not in mine:
+                    rows.append(r | {"first": r["lot"]})
                     continue
                 key, n = unpacked(r["key"]), unpacked(r["n"])
-                third = key >> (_BITS - 16)
-                rows += [r | {"shard": (1 << 24) | int(third[i]), "first": int(key[i]), "size": j - i, "key": packed(key[i:j]), "n": packed(n[i:j])} for i, j in _cuts(third)]
-            yield pa.RecordBatch.from_pylist(rows, b.schema)
+                first, kind, lot = dealt(key, lots, hot)
+                for k in (TWO, THREE):
+                    own = kind == k
+                    rows += [{"block": r["block"], "kind": k, "lot": place, "first": r["lot"], "key": x, "n": y} for place, x, y in _by_lot(key[own], n[own], lot[own])]
+            yield pa.RecordBatch.from_pylist(rows, _arrow(_ASKED))
 
     return run
 
 
-def _by_shard(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, dict]]:
+def _rows(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
     for b in batches:
-        for r in b.to_pylist():
-            yield r["shard"], r
-
-
-def _root(shard: int) -> tuple[int, int]:
-    """The depth of a shard's root, and its parent as the nodes above are named."""
-    return (3, 256 + ((shard & 0xFFFFFF) >> 8)) if shard >= 1 << 24 else (2, shard >> 8)
+        yield from b.to_pylist()
 
 
-_MERGED = "shard int, key binary, n binary, parent int, byte int, count long, " + ", ".join(f"v{j} double" for j in range(8)) + ", tokens long, types long"
+_MERGED = "kind int, lot int, key binary, n binary, parent int, byte int, count long, " + ", ".join(f"v{j} double" for j in range(8)) + ", tokens long, types long"
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per shard its merged counts, and what its root passes up; for words the sums of the base."""
-    schema, shard, tally = _arrow(_MERGED), None, Tally()
+    """Per lot and kind its merged counts, and what its roots pass up; for words the sums of the base."""
+    schema, at, tally = _arrow(_MERGED), None, Tally()
 
-    def closed() -> pa.RecordBatch:
-        key, n = tally.result()
-        rows = [{"shard": shard, "key": packed(key[i : i + (1 << 20)]), "n": packed(n[i : i + (1 << 20)])} for i in range(0, len(key), 1 << 20)]
-        if shard < 0:
+    def closed() -> Iterator[pa.RecordBatch]:
+        (kind, lot), (key, n) = at, tally.result()
+        rows = [{"kind": kind, "lot": lot, "key": packed(key[i : i + (1 << 20)]), "n": packed(n[i : i + (1 << 20)])} for i in range(0, len(key), 1 << 20)]
+        if kind == WORDS:
             rows.append({"tokens": int(n.sum()), "types": int((n > 0).sum())})
-        else:
-            root, parent = _root(shard)
-            tree = Subtree(key, n, root)
+        yield pa.RecordBatch.from_pylist(rows, schema)
+        if kind != WORDS:
+            tree = Subtree(key, n, kind)
             own, count, _ = tree.levels[-1]
-            up = [tree.bit(j)[0] for j in range(8)]
-            rows += [{"parent": parent, "byte": int(x) & 255, "count": int(c)} | {f"v{j}": float(up[j][i]) for j in range(8)} for i, (x, c) in enumerate(zip(own, count, strict=True))]
-        return pa.RecordBatch.from_pylist(rows, schema)
-
-    for s, r in _by_shard(batches):
-        if s != shard:
-            if shard is not None:
-                yield closed()
-            shard, tally = s, Tally()
+            above = (own >> 16) + (256 if kind == THREE else 0)
+            columns = {"parent": above, "byte": own & 255, "count": count} | {f"v{j}": tree.bit(j)[0] for j in range(8)}
+            yield pa.RecordBatch.from_arrays([pa.array(columns[f.name]).cast(f.type) if f.name in columns else pa.nulls(len(own), f.type) for f in schema], schema=schema)
+
+    for r in _rows(batches):
+        if (r["kind"], r["lot"]) != at:
+            if at is not None:
+                yield from closed()
+            at, tally = (r["kind"], r["lot"]), Tally()
         tally.add(unpacked(r["key"]), unpacked(r["n"]))
-    if shard is not None:
-        yield closed()
+    if at is not None:
+        yield from closed()
 
 
-_ANSWER = "block long, word boolean, first long, answer binary"
+_ANSWER = "block long, kind int, lot int, first int, answer binary"
 
 
 def _answered(top):
-    """Per shard, sorted so that its counts come first: the answers to each block."""
+    """Per lot and kind, sorted so that its counts come first: the answers to each block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema, shard, parts, key, value, rows = _arrow(_ANSWER), None, [], None, None, []
-        for s, r in _by_shard(batches):
-            if s != shard:
-                shard, parts, key = s, [], None
+        schema, at, parts, key, value, rows = _arrow(_ANSWER), None, [], None, None, []
+        for r in _rows(batches):
+            if (r["kind"], r["lot"]) != at:
+                at, parts, key = (r["kind"], r["lot"]), [], None
             if not r["asks"]:
                 parts.append((unpacked(r["key"]), unpacked(r["n"])))
                 continue
             if key is None:
-                key, n = merged(parts)
-                parts = []
-                if shard < 0:
+                (key, n), parts, kind = merged(parts), [], r["kind"]
+                if kind == WORDS:
                     value = n.astype(np.float64)
                 else:
-                    root, parent = _root(shard)
-                    tree, value = Subtree(key, n, root), np.zeros(len(key))
+                    tree, value = Subtree(key, n, kind), np.zeros(len(key))
+                    above = (key >> (_BITS + 16 - 8 * kind)) + (256 if kind == THREE else 0)
                     for j in range(8):
-                        value += np.log10(top.value.mixed(parent, key & 255, j, tree.bit(j)[1]))
-            rows.append({"block": r["block"], "word": shard < 0, "first": r["first"], "answer": value[np.searchsorted(key, unpacked(r["key"]))].tobytes()})
-            if len(rows) >= 256:
+                        value += np.log10(top.value.mixed(above, key & 255, j, tree.bit(j)[1]))
+            rows.append({c: r[c] for c in ("block", "kind", "lot", "first")} | {"answer": value[np.searchsorted(key, unpacked(r["key"]))].tobytes()})
+            if len(rows) >= 64:
                 yield pa.RecordBatch.from_pylist(rows, schema)
                 rows = []
         yield pa.RecordBatch.from_pylist(rows, schema)
@@ -476,7 +520,7 @@ def _answered(top):
 _PART = "uid long, id long, held boolean, n_bytes long, n_tokens long, n_known long, base double, score double"
 
 
-def _scored(tokens: int, types: int):
+def _scored(tokens: int, types: int, lots: int, hot: np.ndarray):
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         texts = texts.sort_by([("uid", "ascending"), ("piece", "ascending")])
         before, last = texts.column("before").to_pylist(), texts.column("last").to_pylist()
@@ -495,17 +539,24 @@ def _scored(tokens: int, types: int):
             words, _ = pieces.words()
             seen[1].add(*distinct(words, np.zeros(len(words), bool)))
 
-        def told(word: bool) -> np.ndarray:
-            own = answers.filter(pa.compute.equal(answers.column("word"), word)).sort_by("first")
-            return np.frombuffer(b"".join(own.column("answer").to_pylist()))
+        (key, _), (word, _) = seen[0].result(), seen[1].result()
+        told = answers.sort_by([("kind", "ascending"), ("first", "ascending"), ("lot", "ascending")])
+
+        def in_order(kinds: tuple[int, ...], order: np.ndarray) -> np.ndarray:
+            """The answers, dealt back to the places of the sorted keys."""
+            own = told.filter(pa.compute.is_in(told.column("kind"), pa.array(kinds, pa.int32())))
+            out = np.empty(len(order))
+            out[order] = np.frombuffer(b"".join(own.column("answer").to_pylist()))
+            return out
 
-        (key, _), (word, _), value, count = seen[0].result(), seen[1].result(), told(False), told(True)
-        assert len(key) == len(value) and len(word) == len(count), "a block and its answers have to be of the same texts"
+        first, kind, lot = dealt(key, lots, hot)
+        value = in_order((TWO, THREE), np.lexsort((lot, first, kind)))
+        count = in_order((WORDS,), np.argsort(places(word, WORDS, lots), kind="stable"))
         out = np.zeros((4, len(data)))
         cost = np.log10((count + 0.5) / (tokens + 0.5 * (types + 1)))
         for i, j, pieces in each():
             for k, owner in pieces.grams():
-                out[3, i:j] += np.bincount(owner, weights=value[np.searchsorted(key, k)], minlength=j - i)
+                out[3, i:j] += np.bincount(owner, weights=looked_up(key, value, k), minlength=j - i)
             w, owner = pieces.words()
             at = np.searchsorted(word, w)
             out[0, i:j] += np.bincount(owner, minlength=j - i)
@@ -517,29 +568,28 @@ def _scored(tokens: int, types: int):
     return run
 
 
-def score(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) for every row; rows where ``held`` is true are not learnt from."""
+def score(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, piece: int = PIECE) -> DataFrame:
+    """(id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) for every row; rows where ``held`` is true are not learnt from. A block has about ``block`` bytes, and no result depends on it."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(held, F.lit(False)).alias("held"), F.col(text_col).cast("string").alias("text"))
-    dealt = written(rows.mapInArrow(_blocks, _TEXTS))
-    asked = dealt.where("shard is not null").select("block", "shard", F.col("shard").cast("long").alias("first"), "size", "key", "n")
-    asked = asked.withColumn("first", F.when(F.col("shard") < 0, -1 - F.col("first")).otherwise(F.col("first") * (1 << (_BITS - 8))))
-    every = asked.where("shard >= 0").groupBy("shard").agg(F.sum("size").alias("size"))
+    lots = LOTS * shuffle_partitions(spark)
+    blocks = written(rows.mapInArrow(_blocks(lots, block, piece), _TEXTS))
+    every = blocks.where(F.col("kind") == SIZES).select("key", "n").mapInArrow(_sizes, "subtree long, size long").groupBy("subtree").agg(F.sum("size").alias("size"))
     total = every.agg(F.sum("size")).head()[0] or 0
-    hot = frozenset(r[0] for r in every.where(F.col("size") * HOT > total).select("shard").collect())
-    asked = asked.mapInArrow(_dealt(hot), asked.schema)
-    order = lambda df, *by: df.repartition("shard").sortWithinPartitions("shard", *by)
-    known = written(order(asked).select("shard", "key", "n").mapInArrow(_counted, _MERGED))
+    hot = np.array(sorted(r[0] for r in every.where(F.col("size") * HOT > total).select("subtree").collect()), np.int64)
+    asked = blocks.where(F.col("kind") < SIZES).select("block", "kind", "lot", "key", "n").mapInArrow(_dealt_again(lots, hot), _ASKED)
+    order = lambda df, *by: df.repartition("lot").sortWithinPartitions("lot", "kind", *by)
+    known = written(order(asked).select("kind", "lot", "key", "n").mapInArrow(_counted, _MERGED))
     sums = known.agg(F.sum("tokens"), F.sum("types")).head()
     above = known.where("parent is not null").groupBy("parent", "byte").agg(F.sum("count").alias("count"), *(F.sum(f"v{j}").alias(f"v{j}") for j in range(8))).collect()
     cells = np.array([tuple(r) for r in above], np.float64).reshape(len(above), 11)
     whole = np.array([r["count"] for r in above], np.int64)
     top = spark.sparkContext.broadcast(top_of(cells[:, 0].astype(np.int64), cells[:, 1].astype(np.int64), whole, cells[:, 3:]) if above else None)
     none = lambda kind: F.lit(None).cast(kind)
-    both = known.where("shard is not null").select("shard", F.lit(False).alias("asks"), none("long").alias("block"), none("long").alias("first"), "key", "n").unionAll(asked.select("shard", F.lit(True), "block", "first", "key", none("binary")))
+    both = known.where("lot is not null").select("kind", "lot", F.lit(False).alias("asks"), none("long").alias("block"), none("int").alias("first"), "key", "n").unionAll(asked.select("kind", "lot", F.lit(True), "block", "first", "key", none("binary")))
     answers = order(both, "asks").mapInArrow(_answered(top), _ANSWER)
-    texts = dealt.where("shard is null").select("block", "uid", "id", "held", "piece", "before", "data", "last")
-    parts = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scored(sums[0] or 0, sums[1] or 0), _PART)
+    texts = blocks.where("kind is null").select("block", "uid", "id", "held", "piece", "before", "data", "last")
+    parts = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scored(sums[0] or 0, sums[1] or 0, lots, hot), _PART)
     found = parts.groupBy("uid", "id", "held").agg(*(F.sum(c).alias(c) for c in ("n_bytes", "n_tokens", "n_known", "base", "score")))
     bits = -F.col("score") / F.log10(F.lit(2.0)) / (F.col("n_bytes") + 1)
     return found.select(F.col("id").alias(id_col), F.col("held").alias("held_out"), "n_tokens", "n_known", F.lit(sums[0] or 0).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score", bits.alias("bits_per_byte"))

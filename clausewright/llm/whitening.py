@@ -28,6 +28,7 @@ null. An empty table gives an empty table; other columns are ignored.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,11 +40,12 @@ from pyspark.sql import functions as F
 from .spark_io import written
 
 DEGREE = 10
-GUARD = 16
+GUARD = 32
 RESIDUAL = 1e-14
 RANK = 1e-12
 PASSES = 300
 ROWS = 4096
+PART, FEW = 16 << 20, 64
 SEED = 23
 
 
@@ -81,43 +83,44 @@ def _centred(x: np.ndarray, n: int, sums: list[int]) -> np.ndarray:
     return x.astype(object) * n - np.array(sums, object)
 
 
-def _added(df: DataFrame, local, shape: tuple[int, ...]) -> np.ndarray:
-    """The sum over all partitions of what ``local`` makes of one, as an array of a fixed shape; added in a tree."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(shape)
-        local(batches, total)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["m"])
-
-    parts = df.mapInArrow(run, "m binary").rdd.map(lambda r: np.frombuffer(bytes(r[0])).reshape(shape))
-    return parts.treeReduce(np.add, 2)
+def _packed(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of vectors, each as one binary value."""
+    for _, x in _blocks(batches, dim):
+        yield pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(x, np.int64).tobytes()], pa.binary())], ["x"])
 
 
 class Covariance:
-    """V of the rows of a table of distinct integer vectors, as something that is multiplied."""
-
-    def __init__(self, fit: DataFrame, dim: int) -> None:
-        self.fit, self.dim, self.passes = fit, dim, 0
-
-        def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            n, total = 0, np.zeros(dim, object)
-            for _, x in _blocks(batches, dim):
-                n += len(x)
-                total += x.astype(object).sum(axis=0) if int(np.abs(x).max(initial=0)) >= 2**49 else x.sum(axis=0).astype(object)
-            yield pa.RecordBatch.from_arrays([pa.array([",".join(map(str, (n, *total)))])], ["s"])
-
-        add = lambda a, b: [x + y for x, y in zip(a, b, strict=True)]
-        self.n, *self.sums = fit.mapInArrow(summed, "s string").rdd.map(lambda r: [int(v) for v in r[0].split(",")]).treeReduce(add, 2)
+    """V of distinct integer vectors, as something that is multiplied; they are kept in blocks, in as many parts as their size asks for."""
+
+    def __init__(self, rows: DataFrame, dim: int) -> None:
+        self.dim, self.passes = dim, 0
+        fit = written(rows.select("x").distinct().mapInArrow(lambda b: _packed(b, dim), "x binary"))
+        size = fit.agg(F.sum(F.length("x"))).head()[0] or 0
+        parts = max(fit.sparkSession.sparkContext.defaultParallelism, -(-size // PART))
+        self.fit = fit.coalesce(parts)
+        self.parts = min(parts, self.fit.rdd.getNumPartitions())
+        self.n, *self.sums = self._added(lambda x: [len(x), *(x.astype(object).sum(axis=0) if int(np.abs(x).max()) >= 2**49 else x.sum(axis=0).astype(object))], [0] * (dim + 1)) if size else [0] * (dim + 1)
+
+    def _added(self, make, zero):
+        """The sum of ``make`` over all blocks, by task, and over many tasks in a tree; what is sent has a fixed size."""
+        dim, start = self.dim, np.array(zero, object if isinstance(zero, list) else float)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = start.copy()
+            for b in batches:
+                for x in b.column("x"):
+                    total = total + make(np.frombuffer(x.as_buffer(), np.int64).reshape(-1, dim))
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(total)], pa.binary())], ["m"])
+
+        sums = self.fit.mapInArrow(run, "m binary")
+        if self.parts <= FEW:
+            return sum((pickle.loads(r[0]) for r in sums.collect()), start)
+        return sums.rdd.map(lambda r: pickle.loads(r[0])).treeReduce(np.add, 2)
 
     def _pass(self, make, shape: tuple[int, ...]) -> np.ndarray:
-        n, sums, dim = self.n, self.sums, self.dim
-
-        def local(batches, total) -> None:
-            for _, x in _blocks(batches, dim):
-                total += make((_centred(x, n, sums) / n).astype(np.float64))
-
+        n, sums = self.n, self.sums
         self.passes += 1
-        return _added(self.fit, local, shape) / self.n
+        return self._added(lambda x: make((_centred(x, n, sums) / n).astype(np.float64)), np.zeros(shape)) / n
 
     def times(self, q: np.ndarray) -> np.ndarray:
         return self._pass(lambda x: x.T @ (x @ q), q.shape)
@@ -194,10 +197,9 @@ def eigenpairs(times, dim: int, wanted: int, rng: np.random.Generator, guard: in
 
 def fit(rows: DataFrame, dim: int, components: int) -> Whitening | None:
     """The whitening of the distinct ``x`` of ``rows``; None without rows."""
-    distinct = written(rows.select("x").distinct())
-    if not distinct.take(1):
+    v = Covariance(rows, dim)
+    if v.n == 0:
         return None
-    v = Covariance(distinct, dim)
     trace = v.trace()
     values, vectors, residual = eigenpairs(v.times, dim, components, np.random.Generator(np.random.PCG64([SEED, dim])))
     rounding = (np.finfo(float).eps * max(abs(s) for s in v.sums) / v.n) ** 2 * dim

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from clausewright.llm import context_tree, hard_negatives, textnum, whitening
+from clausewright.llm import chat_format, context_tree, hard_negatives, spark_io, textnum, whitening
 
 from .brute import WORD
 
@@ -255,3 +255,44 @@ def test_word_hashes_do_not_depend_on_runs():
         textnum.release()
         assert (textnum.word_hashes(data, starts, ends, True, most) == whole).all()
     assert whole[0] == whole[3] and len(set(whole.tolist())) == 4
+
+
+# --- Parts of long conversations, the shared folder
+
+
+@pytest.mark.parametrize("most", [1, 40, 1 << 20])
+def test_formatted_chars_do_not_depend_on_parts(spark, most):
+    rng = random.Random(8)
+    rows = [(c, t, rng.choice(["user", "user", "assistant"]), rng.choice(["", None, "hey </s> [INST] ", "long " * 30])) for c in range(25) for t in range(rng.randrange(1, 9))]
+    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    parts = chat_format.expand(df, part_chars=most)
+    whole = {(r["conv_id"], r["example"]): r for r in chat_format.materialize(parts).collect()}
+    got = {r["conv_id"]: r for r in chat_format.digests(parts).collect()}
+    for c in range(25):
+        turns = sorted((t, r, x or "") for k, t, r, x in rows if k == c)
+        shown = [chat_format.format_turn(r, x)[0] for _, r, x in turns]
+        ends = [i for i, (_, r, _) in enumerate(turns) if r == "assistant"]
+        tail = sum(map(len, shown[ends[-1] + 1 if ends else 0 :]))
+        assert got[c]["formatted_chars"] == sum(len("".join(shown[: i + 1])) for i in ends) + tail
+        assert [whole[c, n]["text"] for n in range(len(ends))] == ["".join(shown[: i + 1]) for i in ends]
+
+
+def test_context_of_more_than_a_part(spark):
+    rows = [(1, 0, "user", "a" * 700_000), (1, 1, "user", "b" * 700_000), (1, 2, "user", "c"), (1, 3, "assistant", "d")]
+    r = chat_format.digests(chat_format.expand(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"))).head()
+    assert r["formatted_chars"] == sum(len(chat_format.format_turn(x, t)[0]) for _, _, x, t in rows) and r["n_examples"] == 1
+
+
+def test_a_cluster_has_to_name_its_shared_folder():
+    class Conf:
+        def get(self, key, default):
+            return default
+
+    class Context:
+        master, getConf, getCheckpointDir = "spark://host:7077", lambda self: Conf(), lambda self: None
+
+    class Session:
+        sparkContext = Context()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        spark_io.shared_dir(Session())

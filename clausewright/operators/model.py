@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from ..functions import text as T
-from .relational import batches, joined_text
+from .relational import batches, exists, joined_text
 
 Model = Callable[[list[str]], list[str]]
 
@@ -58,6 +58,26 @@ def hash_embedding(text: Column, dim: int = 64) -> Column:
     return F.transform(summed, lambda x: x.cast("float"))
 
 
+def embedded(chunks: DataFrame, embed: Callable[[Column], Column], cache: str, name: str = "hash-64", text_col: str = "chunk_text", out: str = "content_vector") -> DataFrame:
+    """Adds a vector to each row, from a table of what is known; ``embed`` sees each new text once.
+
+    ``cache`` has a vector by SHA-256 of the text for each model ``name``, so texts that come again,
+    in other documents or runs, are never embedded again. New texts are told by an anti-join on
+    the hash and written before they are read back; if a run is tried again, or two runs meet,
+    a text may stand there twice, and one of its vectors is taken.
+    """
+    spark = chunks.sparkSession
+    text, kind = F.coalesce(F.col(text_col), F.lit("")), "key string, vector array<float>, model string"
+    keyed = chunks.withColumn("__key", F.sha2(text, 256))
+    known = lambda: spark.read.schema(kind).parquet(cache).where(F.col("model") == name).select(F.col("key").alias("__key"), "vector")
+    texts = keyed.groupBy("__key").agg(F.first(text).alias("__text"))
+    fresh = texts.join(known(), "__key", "left_anti") if exists(spark, cache) else texts
+    rows = fresh.select(F.col("__key").alias("key"), embed(F.col("__text")).cast("array<float>").alias("vector"), F.lit(name).alias("model"))
+    rows.write.mode("append").partitionBy("model").parquet(cache)
+    asked = known().join(keyed.select("__key").distinct(), "__key", "left_semi").groupBy("__key").agg(F.first("vector").alias(out))
+    return keyed.drop(out).join(asked, "__key").drop("__key")
+
+
 def dictionary_triples(articles: DataFrame, concepts: dict[str, str], relation: str = "REFERENCES") -> DataFrame:
     """The built-in extractor of graph facts: concepts of a dictionary (name: label) that an article names."""
     hit = F.filter(F.array(*(F.when(F.contains(F.lower("chunk_text"), F.lit(n.lower())), F.struct(F.lit(n).alias("dst"), F.lit(label).alias("dst_label"))) for n, label in concepts.items())), lambda x: x.isNotNull())

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -109,3 +109,9 @@ def bounded_text(df: DataFrame, group: Sequence[str], order: Sequence[str | Colu
     before = F.coalesce(F.sum(F.length(text_col) + len(separator)).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     kept = df.withColumns({"__before": before, "__pos": F.row_number().over(w)}).where(F.col("__before") < most)
     return joined_text(kept.withColumn("__cut", F.substring(text_col, 1, most)), group, ["__pos"], "__cut", separator).withColumn("context", F.substring("context", 1, most))
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is something at a path that Spark can reach."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import vocab
@@ -15,13 +15,33 @@ from ..operators.iterate import cut
 from ..sources import files
 
 
-def ingest(spark: SparkSession, source: str, index: str, done: str, extractor: Callable[[bytes], list[tuple[int, str]]], strategy: str = "token", explicit_type: str | None = None, pattern: str = "*.pdf", log: str | None = None) -> DataFrame:
-    """Files that the ledger does not know, through extraction and chunking, to the index; returns the run's summary row.
+def ingest(
+    spark: SparkSession,
+    source: str,
+    index: str,
+    done: str,
+    extractor: Callable[[bytes], list[tuple[int, str]]] | Callable[[DataFrame], DataFrame],
+    strategy: str = "token",
+    explicit_type: str | None = None,
+    pattern: str = "*.pdf",
+    log: str | None = None,
+    embed: Callable[[Column], Column] | None = model.hash_embedding,
+    embedder: str = "hash-64",
+    by_range: bool = False,
+    **options,
+) -> DataFrame:
+    """Files that the ledger does not know, through extraction, chunking and embedding, to the index; returns the run's summary row.
 
     Pages are joined before they are chunked, so chunks are numbered per document; a document is
-    named by its path below ``source``. Documents that are ingested again replace their chunks. What
-    was rejected is in ``index``_rejected, what could not be read in ``index``_quarantine, and the
-    run's summary in ``log`` where that is given.
+    named by its path below ``source``. Documents that are ingested again replace their chunks, and
+    one that has no text any more leaves none (a file of no bytes at all is not listed by Spark's
+    reader, so it is not seen as changed). ``extractor`` reads the bytes of a file, or with
+    ``by_range`` it is a function of the table of files, such as ``files.extract_ranges`` with its
+    readers; then a bad range costs its pages, and its file stays open for the next run.
+    Vectors come from ``embed`` by way of the table ``index``_vectors, in which ``embedder`` names the
+    model. What was rejected is in ``index``_rejected, what could not be read by the last run in
+    ``index``_quarantine, and the run's summary in ``log`` where that is given. ``options`` go to the
+    chunker.
     """
     began = time.monotonic()
     named = lambda df: df.withColumn("file_name", files.document_name(F.col("file_path"), source))
@@ -32,14 +52,19 @@ def ingest(spark: SparkSession, source: str, index: str, done: str, extractor: C
     oldest = todo.agg(F.min("modified")).head()[0]
     content = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(source)
     content = content.where(F.col("modificationTime") >= F.lit(oldest)).select(F.col("path").alias("file_path"), "content")
-    pages = files.extract(todo.join(content, "file_path").select("file_name", "content"), extractor).persist()
+    given = todo.join(content, "file_path").select("file_name", "content")
+    pages = (extractor(given) if by_range else files.extract(given, extractor)).persist()
     texts = files.joined_pages(pages).withColumns({"regulation": T.detect_regulation(T.base_name(F.col("file_name"))), "doc_type": T.doc_type(F.lit(source), explicit_type)})
-    rows = files.chunk_rows(chunking.chunk(texts, strategy), strategy)
+    if strategy == "semantic":
+        options = {"id_col": "file_name", "embed": embed or model.hash_embedding} | options
+    chunks = files.chunk_rows(chunking.chunk(texts, strategy, **options), strategy)
+    rows = model.embedded(chunks, embed, f"{index}_vectors", embedder) if embed else chunks
     bad = pages.where("status <> 'ok'")
-    files.upsert(rows, index)
-    bad.write.mode("append").parquet(f"{index}_quarantine")
+    read = todo.select("file_name").join(bad.where("page = -1").select("file_name"), "file_name", "left_anti")
+    files.upsert(rows, index, read.withColumnRenamed("file_name", "paper_id"))
+    bad.write.mode("overwrite").parquet(f"{index}_quarantine")  # these files are not committed, so each run meets them all again
     files.commit(todo.join(bad.select("file_name"), "file_name", "left_anti"), done)
-    state = rows.select(F.col("paper_id").alias("file_name"), "status").unionByName(bad.select("file_name", "status"))
+    state = chunks.select(F.col("paper_id").alias("file_name"), "status").unionByName(bad.select("file_name", "status"))
     summary = cut(relational.ingest_summary(found, state))
     pages.unpersist()
     if log:
@@ -60,10 +85,10 @@ def build_graph(docs: DataFrame, concepts: dict[str, str], conflict_model: model
     return tables
 
 
-def retrieve(questions: DataFrame, chunks: DataFrame, tables: dict[str, DataFrame], entity_model: model.Model, answer_model: model.Model, k: int = 10) -> DataFrame:
-    """(query, answer, gaps, recommendations, jurisdictions) for each question: hybrid search, entities, graph facts, answer."""
-    asked = questions.withColumn("content_vector", model.hash_embedding(F.col("question"))).select(F.col("query").alias("qid"), F.col("question").alias("content"), "content_vector")
-    best = search.hybrid(chunks, asked, "chunk_id", "qid", "content", "content_vector", k)
+def retrieve(questions: DataFrame, chunks: DataFrame, tables: dict[str, DataFrame], entity_model: model.Model, answer_model: model.Model, k: int = 10, where: Column | None = None, embed: Callable[[Column], Column] = model.hash_embedding) -> DataFrame:
+    """(query, answer, gaps, recommendations, jurisdictions) for each question: hybrid search under a filter, entities, graph facts, answer. ``embed`` is what embedded the chunks."""
+    asked = questions.withColumn("content_vector", embed(F.col("question"))).select(F.col("query").alias("qid"), F.col("question").alias("content"), "content_vector")
+    best = search.hybrid(chunks, asked, "chunk_id", "qid", "content", "content_vector", k, where=where)
     text = best.join(chunks.select(F.col("chunk_id").alias("doc"), F.col("content").alias("text")), "doc").select("query", "rank", "text")
     names = model.entities(text, entity_model)
     terms = names.select("query", F.posexplode("entities").alias("pos", "term")).select("query", F.floor(F.col("pos") / 5).cast("int").alias("batch"), "term")

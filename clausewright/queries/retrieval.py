@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from ..operators import relational, search
+from ..operators import relational, search, vector_index
+from ..operators.iterate import cut, shared_folder
 from . import query, views
 
 
@@ -39,6 +42,17 @@ def knn(spark, d):
     return _knn(spark, d).select("query", "doc", F.round("score", 6).alias("score"), "rank")
 
 
+@query()
+def knn_index(spark, d):
+    """The same queries through the inverted-file index, which is built from the whole table; the lists to read are calibrated on every eighth of them."""
+    e, at = views.table(spark, d, "embeddings"), f"{shared_folder(spark).rstrip('/')}/ivf-{uuid.uuid4().hex}"
+    vector_index.build(e, at, "vec_id", "embedding")
+    asked = e.where("vec_id % 20 = 0")
+    some = asked.where("vec_id % 160 = 0")
+    nprobe, _ = vector_index.calibrate(some, cut(search.nearest(e, some, "vec_id", "vec_id", "embedding", 10)), at, "vec_id", "embedding")
+    return vector_index.search(asked, at, "vec_id", "embedding", 10, nprobe).select("query", "doc", F.round("score", 6).alias("score"), "rank", "scanned")
+
+
 _BM25 = """terms AS (SELECT doc_id AS doc, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS t FROM documents),
 stats AS (SELECT count(*)::DOUBLE AS n, avg(len(t)) AS mean FROM terms),
 want AS (SELECT item_id AS query, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> ''))) AS term FROM benchmark),
@@ -62,6 +76,26 @@ def hybrid_rrf(spark, d):
     return search.fuse([keyword, _knn(spark, d)], 10).select("query", "doc", F.round("score", 6).alias("score"), "rank")
 
 
+_MIXED = """m AS (SELECT doc_id, lang, text, embedding FROM documents JOIN embeddings ON doc_id = vec_id),
+t AS (SELECT doc_id AS doc, lang, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS t FROM m),
+stats AS (SELECT count(*)::DOUBLE AS n, avg(len(t)) AS mean FROM t WHERE lang = 'en'),
+want AS (SELECT doc AS query, unnest(list_distinct(t)) AS term FROM t WHERE doc % 20 = 0),
+tf AS (SELECT term, doc, len, count(*) AS tf FROM (SELECT doc, len(t) AS len, unnest(t) AS term FROM t WHERE lang = 'en') GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+bm AS (SELECT query, doc, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 9) AS score FROM want JOIN tf USING (term) JOIN df USING (term), stats GROUP BY query, doc),
+vs AS (SELECT q.doc_id AS query, v.doc_id AS doc, round(list_cosine_similarity(list_transform(v.embedding, lambda x: x::DOUBLE), list_transform(q.embedding, lambda x: x::DOUBLE)), 9) AS score FROM m v JOIN m q ON q.doc_id % 20 = 0 AND v.lang = 'en'),
+u AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM bm QUALIFY rank <= 50 UNION ALL SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM vs QUALIFY rank <= 50),
+f AS (SELECT query, doc, round(sum(1 / (60 + rank)), 12) AS score FROM u GROUP BY ALL)"""
+
+
+@query(f"WITH {_MIXED} SELECT query, doc, round(score, 6) AS score, (row_number() OVER (PARTITION BY query ORDER BY score DESC, doc))::INT AS rank FROM f QUALIFY rank <= 10")
+def hybrid_filtered(spark, d):
+    """Keyword and vector search over the English documents that have a vector, asked by those whose id is divisible by 20."""
+    rows = views.table(spark, d, "documents").select("doc_id", "lang", "text").join(views.table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id")
+    out = search.hybrid(rows, rows.where("doc_id % 20 = 0"), "doc_id", "doc_id", "text", "embedding", where=F.col("lang") == "en")
+    return out.select("query", "doc", F.round("score", 6).alias("score"), "rank")
+
+
 def _questions(spark, d):
     c = views.table(spark, d, "conversations").where("role = 'user'")
     return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query"), F.when(F.col("turn") == 0, F.concat(F.lit("does src"), (F.col("conv_id") % 25).cast("string"), F.lit(" say so"))).when(F.col("turn") == 2, F.lit("compare all of it")).otherwise(F.lit("what now")).alias("question"), F.when(F.col("conv_id") % 3 == 1, F.concat(F.lit("src"), (F.col("conv_id") % 22).cast("string"), F.lit("_policy.pdf"))).alias("explicit"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions import text as X
 from ..operators.iterate import cut
+from ..operators.relational import exists
 
 MANIFEST = "file_path string, file_name string, regulation string, modified timestamp, length long"
 CHUNKS = T.StructType([T.StructField(n, T.IntegerType() if n in ("chunk_index", "page") else T.StringType(), False) for n in ("chunk_id", "paper_id", "regulation", "doc_type", "chunk_text", "chunk_index", "page", "extractor", "chunk_strategy", "status", "error")])
@@ -77,6 +78,52 @@ def extract(files: DataFrame, extractor: Callable[[bytes], list[tuple[int, str]]
     return files.select("file_name", "content").mapInPandas(run, "file_name string, page int, text string, extractor string, status string, error string")
 
 
+def extract_ranges(
+    files: DataFrame, split: Callable[[bytes, int], list[tuple[int, bytes]]], readers: Mapping[str, Callable[[bytes], list[str]]], size: int = 20, sample: int = 3, fewer: int = 200
+) -> DataFrame:
+    """Runs extractors over ranges of ``size`` pages of (file_name, content), with the columns of ``extract``.
+
+    ``split`` gives the ranges of a file as (number of the first page, bytes), so each part of a
+    file moves once; ``readers`` has ``text`` and ``ocr``, from the bytes of a range to the texts of
+    its pages. A file whose first ``sample`` pages give the text reader fewer than so many
+    characters, or fail it, is scanned and goes to ``ocr``. Ranges are rows of their own: a long
+    file is read by many tasks, and a range that fails is one row with its first page and its
+    error, beside the pages of the others. A file that cannot be split is one row with page -1.
+    """
+
+    def parted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for file_name, content in zip(b["file_name"], b["content"], strict=True):
+                try:
+                    parts = split(content, size)
+                except Exception as e:  # noqa: BLE001
+                    yield pd.DataFrame([(file_name, -1, b"", "", f"{type(e).__name__}: {e}"[:500])], columns=["file_name", "first", "part", "kind", "error"])
+                    continue
+                try:
+                    found = sum(len(t.strip()) for t in readers["text"](parts[0][1])[:sample]) if parts else 0
+                except Exception:  # noqa: BLE001
+                    found = 0
+                kind = "ocr" if found < fewer else "text"
+                for first, part in parts:
+                    yield pd.DataFrame([(file_name, first, part, kind, None)], columns=["file_name", "first", "part", "kind", "error"])
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows: list[tuple] = []
+            for r in b.itertuples(index=False):
+                try:
+                    if isinstance(r.error, str):
+                        raise ValueError(r.error)
+                    rows += [(r.file_name, r.first + i, text, r.kind, "ok", "") for i, text in enumerate(readers[r.kind](r.part))]
+                except Exception as e:  # noqa: BLE001  one bad range must not end the file
+                    rows.append((r.file_name, r.first, "", r.kind, "error", r.error if isinstance(r.error, str) else f"{type(e).__name__}: {e}"[:500]))
+            yield pd.DataFrame(rows, columns=["file_name", "page", "text", "extractor", "status", "error"])
+
+    ranges = files.select("file_name", "content").mapInPandas(parted, "file_name string, first int, part binary, kind string, error string")
+    spread = ranges.repartition(max(files.sparkSession.sparkContext.defaultParallelism, int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "file_name", "first")
+    return spread.mapInPandas(read, "file_name string, page int, text string, extractor string, status string, error string")
+
+
 def page_text(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """Visible text of HTML pages, native: scripts, styles, comments and tags go, white space folds."""
     bare = F.regexp_replace(F.coalesce(html_col, F.lit("")), r"(?is)<(script|style|head)\b.*?</\1>|<!--.*?-->", " ")
@@ -109,34 +156,42 @@ def chunk_rows(chunks: DataFrame, strategy: str) -> DataFrame:
     return out.na.fill("").na.fill(-1)
 
 
+def _index_rows(chunks: DataFrame) -> DataFrame:
+    good = chunks.where((F.col("status") == "ok") & (X.strip(F.col("chunk_text")) != ""))
+    return good.withColumnRenamed("chunk_text", "content")
+
+
 def upload(chunks: DataFrame, path: str, mode: str = "append") -> None:
     """Good, non-blank chunks as the index: partitioned by class and regulation, so that filters on them prune folders."""
-    good = chunks.where((F.col("status") == "ok") & (X.strip(F.col("chunk_text")) != ""))
-    good.withColumnRenamed("chunk_text", "content").write.mode(mode).partitionBy("doc_type", "regulation").parquet(path)
+    _index_rows(chunks).write.mode(mode).partitionBy("doc_type", "regulation").parquet(path)
 
 
-def upsert(chunks: DataFrame, path: str) -> None:
+def upsert(chunks: DataFrame, path: str, papers: DataFrame | None = None) -> None:
     """Chunks of documents into the index: what it has of these documents is replaced, so a batch may come twice.
 
-    Only folders that hold some of these documents are written again, from a copy that is complete
-    before they are; batches of new documents are appended.
+    ``papers`` (paper_id) names the documents that were read, with those that gave no chunk: what
+    the index has of them goes. Without it they are the documents of ``chunks``. Only folders that
+    hold some of these documents are written again, from a copy that is complete before they are;
+    batches of new documents are appended.
     """
     spark = chunks.sparkSession
     if not exists(spark, path):
         upload(chunks, path)
         return
-    known, papers = spark.read.parquet(path), chunks.select("paper_id").distinct()
+    rows = _index_rows(chunks)
+    read = lambda at: spark.read.schema(rows.schema).parquet(at)
+    known, papers = read(path), (chunks if papers is None else papers).select("paper_id").distinct()
     folders = known.join(papers, "paper_id", "left_semi").select("doc_type", "regulation").distinct()
     if not folders.take(1):
         upload(chunks, path)
         return
     staged = f"{path.rstrip('/')}_staged_{uuid.uuid4().hex}"
     upload(chunks, staged)
-    touched = folders.unionByName(chunks.select("doc_type", "regulation").distinct()).distinct()
+    touched = folders.unionByName(rows.select("doc_type", "regulation").distinct()).distinct()
     rest = known.join(touched, ["doc_type", "regulation"], "left_semi").join(papers, "paper_id", "left_anti")
-    rest.select(spark.read.parquet(staged).columns).write.mode("append").partitionBy("doc_type", "regulation").parquet(staged)
-    emptied = folders.join(spark.read.parquet(staged).select("doc_type", "regulation").distinct(), ["doc_type", "regulation"], "left_anti").collect()
-    spark.read.parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("doc_type", "regulation").parquet(path)
+    rest.select(rows.columns).write.mode("append").partitionBy("doc_type", "regulation").parquet(staged)
+    emptied = folders.join(read(staged).select("doc_type", "regulation").distinct(), ["doc_type", "regulation"], "left_anti").collect()
+    read(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("doc_type", "regulation").parquet(path)
     for r in emptied:  # folders, as few as there are classes and regulations
         remove(spark, f"{path.rstrip('/')}/doc_type={r['doc_type']}/regulation={r['regulation']}")
     remove(spark, staged)
@@ -178,7 +233,7 @@ def deliver(chunks: DataFrame, send: Callable[[list[dict]], None], size: int = 1
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
-    """The index under its schema, without inference; vectors that were not stored are null."""
+    """The index under its schema, without inference; vectors are null where chunks were stored without."""
     return spark.read.schema(INDEX).parquet(path)
 
 
@@ -191,11 +246,6 @@ def with_new(existing: DataFrame, new: DataFrame) -> DataFrame:
     return existing.unionByName(new, allowMissingColumns=True)
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
-
-
 def build_or_load(chunks: DataFrame, path: str, force: bool = False) -> DataFrame:
     """The index at ``path``; built only if it is not there, or anew if forced."""
     spark = chunks.sparkSession

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import chunking
+from ..operators import chunking, model
 from ..sources import files
 
 
@@ -21,24 +21,27 @@ def incremental(spark: SparkSession, source: str, schema: str, step: Callable[[D
     q.awaitTermination()
 
 
-def ingest_texts(spark: SparkSession, source: str, index: str, checkpoint: str, size: int = 512, overlap: int = 100) -> None:
-    """New (file_name, regulation, doc_type, text) rows to token chunks in the index."""
+def ingest_texts(spark: SparkSession, source: str, index: str, checkpoint: str, size: int = 512, overlap: int = 100, embed: Callable[[Column], Column] | None = None, embedder: str = "hash-64") -> None:
+    """New (file_name, regulation, doc_type, text) rows to token chunks in the index, with vectors where ``embed`` is given."""
+    embedded = lambda rows: model.embedded(rows, embed, f"{index}_vectors", embedder) if embed else rows
 
     def step(batch: DataFrame, _: int) -> None:
         cut = chunking.token_chunks(batch, "text", size, overlap).withColumn("page", F.lit(0))
-        files.upsert(files.chunk_rows(cut, "token"), index)
+        files.upsert(embedded(files.chunk_rows(cut, "token")), index, batch.select(F.col("file_name").alias("paper_id")))
 
     incremental(spark, source, "file_name string, regulation string, doc_type string, text string", step, checkpoint)
 
 
-def ingest_files(spark: SparkSession, source: str, index: str, checkpoint: str, extractor: Callable[[bytes], list[tuple[int, str]]], pattern: str = "*.pdf") -> None:
+def ingest_files(spark: SparkSession, source: str, index: str, checkpoint: str, extractor: Callable[[bytes], list[tuple[int, str]]], pattern: str = "*.pdf", embed: Callable[[Column], Column] | None = None, embedder: str = "hash-64") -> None:
     """New binary files through an extractor to token chunks of whole documents; failures go to a quarantine table beside the index. A batch may be tried again."""
+    embedded = lambda rows: model.embedded(rows, embed, f"{index}_vectors", embedder) if embed else rows
 
     def step(batch: DataFrame, number: int) -> None:
         named = batch.select(files.document_name(F.col("path"), source).alias("file_name"), "content")
         pages = files.extract(named, extractor).persist()
         text = files.joined_pages(pages).withColumns({"regulation": files.X.detect_regulation(files.X.base_name(F.col("file_name"))), "doc_type": files.X.doc_type(F.col("file_name"))})
-        files.upsert(files.chunk_rows(chunking.token_chunks(text, "text"), "token"), index)
+        read = named.select("file_name").join(pages.where("page = -1").select("file_name"), "file_name", "left_anti")
+        files.upsert(embedded(files.chunk_rows(chunking.token_chunks(text, "text"), "token")), index, read.withColumnRenamed("file_name", "paper_id"))
         # a batch that is tried again writes its own folder again
         pages.where("status <> 'ok'").write.mode("overwrite").parquet(f"{index}_quarantine/batch={number}")
         pages.unpersist()

@@ -189,7 +189,7 @@ def test_delivery_counts_failed_batches(spark, tmp_path):
 
 def test_index_is_read_under_its_schema(spark, folder):
     assert files.index_count(spark, f"{folder}/index") == 0
-    jobs.ingest(spark, f"{folder}/policies", f"{folder}/index", f"{folder}/ledger", reader)
+    jobs.ingest(spark, f"{folder}/policies", f"{folder}/index", f"{folder}/ledger", reader, embed=None)
     index = files.read_index(spark, f"{folder}/index")
     assert files.index_count(spark, f"{folder}/index") == 2 and index.where("content_vector is null").count() == 2
     new = index.limit(1).drop("content_vector").withColumn("score", F.lit(1.0))

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from clausewright.llm import chat_format, context_tree, hard_negatives, spark_io, textnum, whitening
+from clausewright.llm import chat_format, context_tree, hard_negatives, html_extract, spark_io, textnum, whitening
 
 from .brute import WORD
 
@@ -296,3 +296,21 @@ def test_a_cluster_has_to_name_its_shared_folder():
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         spark_io.shared_dir(Session())
+
+
+# --- HTML: names that only hold a marked word, references across tags
+
+
+@pytest.mark.parametrize("pages", [1, 20])
+def test_articles_keep_sections_whose_names_hold_a_marked_word(spark, pages):
+    slots = [("share-of-market", True), ("social-history", True), ("comments-list", False), ("ad", False), ("related posts", False), ("newsletter-box wide", False)]
+    page = lambda i: "<html><body><article><h1>Title %d</h1>%s</article></body></html>" % (i, "".join(f'<section class="{c}"><p>part {n} of page {i} ' + "words " * 40 + "</p></section>" for n, (c, _) in enumerate(slots)))
+    df = spark.createDataFrame([(i, f"http://h.example.com/{i}", page(i)) for i in range(pages)], "page_id long, url string, html string")
+    for r in html_extract.extract(df).collect():
+        assert [f"part {n} of" in r["text"] for n in range(len(slots))] == [keep for _, keep in slots], r["text"]
+
+
+def test_references_end_at_tags(spark):
+    page = "<p>1 &<i>lt;</i> 2 &am<b>p;</b> &lt;b&gt; &amp;lt; &eacute;<i>t</i>&#233; &am<!-- x -->p;</p>"
+    df = spark.createDataFrame([(1, "http://h.org/", page)], "page_id long, url string, html string")
+    assert html_extract.extract(df).head()["text"] == "1 &lt; 2 &amp; <b> &lt; été &amp;"

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import relational, search, vector_index
+from ..operators import postings, relational, search, vector_index
 from ..operators.iterate import cut, shared_folder
 from . import query, views
 
@@ -76,6 +76,17 @@ def hybrid_rrf(spark, d):
     return search.fuse([keyword, _knn(spark, d)], 10).select("query", "doc", F.round("score", 6).alias("score"), "rank")
 
 
+@query(f"WITH {_BM25} SELECT query, doc, round(score, 6) AS score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc) AS rank FROM bm) WHERE rank <= 10")
+def bm25_index(spark, d):
+    """The same ranking from a stored index, to which the documents come in two segments, some of them twice, with another text at first."""
+    docs, at = views.table(spark, d, "documents").select("doc_id", "text"), f"{shared_folder(spark).rstrip('/')}/postings-{uuid.uuid4().hex}"
+    early = docs.where("doc_id % 3 <> 0").withColumn("text", F.when(F.col("doc_id") % 5 == 1, F.concat("text", F.lit(" "), "text")).otherwise(F.col("text")))
+    postings.add(early, at, "doc_id")
+    postings.add(docs.where("doc_id % 3 = 0 or doc_id % 5 = 1"), at, "doc_id")
+    found = postings.search(views.table(spark, d, "benchmark"), at, "item_id")
+    return found.select("query", "doc", F.round("score", 6).alias("score"), "rank")
+
+
 _MIXED = """m AS (SELECT doc_id, lang, text, embedding FROM documents JOIN embeddings ON doc_id = vec_id),
 t AS (SELECT doc_id AS doc, lang, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS t FROM m),
 stats AS (SELECT count(*)::DOUBLE AS n, avg(len(t)) AS mean FROM t WHERE lang = 'en'),

@@ -186,7 +186,19 @@ def test_betweenness_equals_path_counting(spark):
 
 def test_pagerank_keeps_its_mass(spark):
     _, df = random_graph(spark)
-    assert sum(r["rank"] for r in graph.pagerank(df, steps=8).collect()) == pytest.approx(1.0)
+    assert sum(r["rank"] for r in graph.pagerank(df, tolerance=1e-3, fold=2).collect()) == pytest.approx(1.0)
+
+
+def test_pagerank_without_cycles_ends_with_the_longest_path(spark, monkeypatch):
+    steps, cut = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: steps.append(df.columns) or cut(df))
+    df = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c"), ("x", "x")], "src string, dst string")
+    got = {r["node"]: r["rank"] for r in graph.pagerank(df).collect()}
+    a, b = 1.0, 1 + 0.85 / 2
+    c = 1 + 0.85 / 2 + 0.85 * b
+    assert got == pytest.approx({"a": a / (a + b + c), "b": b / (a + b + c), "c": c / (a + b + c)})
+    assert steps.count(["node", "x", "moves"]) == 3  # the start and two steps
+    assert graph.pagerank(df.where("false")).count() == 0
 
 
 def test_communities_of_two_cliques(spark):

@@ -42,7 +42,7 @@ THEMES = ("data_retention", "consent_mechanisms", "breach_notification", "securi
 
 
 def gaps(spark: SparkSession, d: str) -> DataFrame:
-    li = table(spark, d, "lineitem").where("l_returnflag = 'A' and l_linestatus = 'O'")
+    li = table(spark, d, "lineitem")
     q = F.col("l_quantity")
     severity = F.when(q > 45, "critical").when(q > 30, "high").when(q > 15, "medium").otherwise("low")
     theme = F.get(F.array(*map(F.lit, THEMES)), (F.col("l_linenumber") - 1) % len(THEMES))
@@ -51,7 +51,7 @@ def gaps(spark: SparkSession, d: str) -> DataFrame:
 
 
 GAPS = f"""{OBLIGATIONS}, gaps AS (SELECT document, l_orderkey AS obligation_id, l_linenumber AS line, regulation, CASE WHEN l_quantity > 45 THEN 'critical' WHEN l_quantity > 30 THEN 'high' WHEN l_quantity > 15 THEN 'medium' ELSE 'low' END AS severity,
-  list_extract([{", ".join(f"'{t}'" for t in THEMES)}], (l_linenumber - 1) % {len(THEMES)} + 1) AS theme FROM lineitem JOIN obligations ON l_orderkey = id WHERE l_returnflag = 'A' AND l_linestatus = 'O')"""
+  list_extract([{", ".join(f"'{t}'" for t in THEMES)}], (l_linenumber - 1) % {len(THEMES)} + 1) AS theme FROM lineitem JOIN obligations ON l_orderkey = id)"""
 
 
 def edges(spark: SparkSession, d: str) -> DataFrame:
@@ -71,11 +71,6 @@ EDGES = """edges AS (SELECT n_name AS src, 'PART_OF' AS rel, r_name AS dst FROM
   UNION ALL SELECT DISTINCT 'S' || l_suppkey, 'REQUIRES', 'P' || l_partkey FROM lineitem)"""
 
 
-def place_edges(spark: SparkSession, d: str) -> DataFrame:
-    """Nations, regions, suppliers and customers only."""
-    return edges(spark, d).where("rel <> 'REQUIRES'")
-
-
 def paged(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").select(F.col("conv_id").alias("paper_id"), (F.col("turn") + 1).cast("int").alias("page"), "role", "text")
 

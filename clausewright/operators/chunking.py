@@ -86,20 +86,22 @@ def article_split(docs: DataFrame, header: str, text_col: str = "text", clean_ta
     return out.where(F.length("chunk_text") >= shortest).withColumn("heading_level", F.lit(2)).drop("__part", "__body").withColumnRenamed("__pos", "article_pos")
 
 
-def split_articles(docs: DataFrame, regulation_col: str = "regulation", text_col: str = "text", headers: Mapping[str, str] = vocab.ARTICLE_HEADERS, contents: Mapping[str, str] = vocab.CONTENTS_END, tables: tuple[str, ...] = vocab.TABLE_REGULATIONS, least: int = 3, size: int = 2000) -> DataFrame:
-    """Each document by its regulation's headers; documents with no pattern, or fewer than ``least`` headers, by size."""
+def split_articles(docs: DataFrame, regulation_col: str = "regulation", text_col: str = "text", headers: Mapping[str, str] = vocab.ARTICLE_HEADERS, contents: Mapping[str, str] = vocab.CONTENTS_END, tables: tuple[str, ...] = vocab.TABLE_REGULATIONS, least: int = 3, size: int = 2000, spellings: Mapping[str, str] = vocab.REGULATION_SPELLINGS) -> DataFrame:
+    """Each document by its regulation's headers, also under a misspelt name; documents with no pattern, or fewer than ``least`` headers, by size."""
     text, reg = F.col(text_col), F.upper(regulation_col)
+    for name, meant in spellings.items():
+        reg = F.when(reg == name, meant).otherwise(reg)
     for name, end in contents.items():
         text = F.when(reg == name, skip_contents(F.col(text_col), end)).otherwise(text)
     trimmed = docs.withColumn(text_col, text)
     count = F.lit(0)
     for name, header in headers.items():
         count = F.when(reg == name, F.regexp_count(F.concat(F.lit("\n"), F.col(text_col)), F.lit(header.replace(r"\n", r"(?:^|\n)", 1) if header.startswith(r"\n") else header))).otherwise(count)
-    counted = trimmed.withColumn("__n", count)
+    counted = trimmed.withColumns({"__n": count, "__reg": reg})
     wanted = [*docs.columns, "article_id", "heading_level", "chunk_index", "chunk_text"]
     out = size_chunks(counted.where(F.coalesce(F.col("__n"), F.lit(0)) < least), text_col, size).select(wanted)
     for name, header in headers.items():
-        own = counted.where((F.upper(regulation_col) == name) & (F.col("__n") >= least))
+        own = counted.where((F.col("__reg") == name) & (F.col("__n") >= least)).drop("__reg")
         out = out.unionByName(article_split(own, header, text_col, name in tables).withColumnRenamed("article_pos", "chunk_index").select(wanted))
     return out
 

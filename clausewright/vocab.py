@@ -90,6 +90,8 @@ ARTICLE_HEADERS = {
 }
 CONTENTS_END = {"HIPAA": r"(?i)##\s+\*\*Subpart\s+A"}
 TABLE_REGULATIONS = ("NIST",)
+# Fixed value: a misspelt name that documents come under.
+REGULATION_SPELLINGS = {"HIPPA": "HIPAA"}
 
 # Aliases of policy names, and replacements of company names.
 POLICY_ALIASES = {

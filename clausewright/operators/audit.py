@@ -128,6 +128,12 @@ def scoped_conflicts(conflicts: DataFrame, audited: Sequence[str] | None) -> Dat
     return conflicts.where(T.in_scope(F.concat_ws(" ", "src", "dst"), given))
 
 
+def document_conflicts(conflicts: DataFrame, obligations: DataFrame, regulations: Sequence[str] = tuple(vocab.REGULATION_WEIGHTS)) -> DataFrame:
+    """(document, src, rel, dst, description): the conflicts whose ends name a regulation that the document has obligations under; one that names none is no document's own."""
+    named = conflicts.withColumn("regulation", F.explode(T.classes_in(F.concat_ws(" ", "src", "dst"), {r: (r.lower(),) for r in regulations})))
+    return named.join(obligations.select("document", "regulation").distinct(), "regulation").select("document", "src", "rel", "dst", "description").distinct()
+
+
 def report_rows(risks: DataFrame, documents: DataFrame, jurisdictions: Sequence[str]) -> DataFrame:
     """The framework table of each document's report: N/A and NO DATA where a regulation has no score."""
     wanted = documents.select("document").withColumn("regulation", F.explode(F.array(*map(F.lit, jurisdictions))))
@@ -137,7 +143,7 @@ def report_rows(risks: DataFrame, documents: DataFrame, jurisdictions: Sequence[
 
 
 def reports(risks: DataFrame, documents: DataFrame, groups: DataFrame, jurisdictions: Sequence[str], shown: int = 3) -> DataFrame:
-    """(document, report): one text per document with its framework table and its first theme groups; the others are counted."""
+    """(document, report): one text per document with its framework table and its first theme groups; the others are counted. Groups with a recommendation make a checklist, worst first."""
     order = F.array_position(F.array(*map(F.lit, jurisdictions)), F.col("regulation"))
     table = report_rows(risks, documents, jurisdictions).groupBy("document").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), F.format_string("| %s | %s | %s |", "regulation", "compliance", "rating").alias("t")))), lambda s: s["t"]), "\n").alias("table"))
     line = F.format_string("- **%s** _(%s · %s)_ %d", "label", F.array_join("regulations", ", "), F.upper("severity"), "n_gaps")
@@ -145,7 +151,12 @@ def reports(risks: DataFrame, documents: DataFrame, groups: DataFrame, jurisdict
     more = groups.groupBy("document").agg(F.count_if(F.col("position") > shown).alias("more"))
     out = documents.select("document", "compliance", "rating").join(table, "document", "left").join(top, "document", "left").join(more, "document", "left")
     tail = F.when(F.coalesce("more", F.lit(0)) > 0, F.format_string("Show %d more finding(s)", "more"))
-    return out.select("document", F.concat_ws("\n", F.format_string("### %s — %s/100 %s", "document", F.col("compliance").cast("string"), "rating"), "table", F.coalesce("findings", F.lit("No compliance gaps identified for the queried scope.")), tail).alias("report"))
+    checklist = F.lit(None).cast("string")
+    if "recommendation" in groups.columns:
+        todo = F.struct("position", F.format_string("- [ ] **%s**: %s", "label", "recommendation").alias("t"))
+        lists = groups.where(T.strip(F.col("recommendation")) != "").groupBy("document").agg(F.array_join(F.transform(F.array_sort(F.collect_list(todo)), lambda s: s["t"]), "\n").alias("checklist"))
+        out, checklist = out.join(lists, "document", "left"), F.col("checklist")
+    return out.select("document", F.concat_ws("\n", F.format_string("### %s — %s/100 %s", "document", F.col("compliance").cast("string"), "rating"), "table", F.coalesce("findings", F.lit("No compliance gaps identified for the queried scope.")), tail, checklist).alias("report"))
 
 
 def coverage_report(matrix: DataFrame, groups: DataFrame, shown: int = 2) -> DataFrame:

@@ -99,13 +99,26 @@ def retrieve(questions: DataFrame, chunks: DataFrame, tables: dict[str, DataFram
     return said.join(questions.join(contexts.select("query", "known"), "query", "left").select("query", T.detect_jurisdictions(F.col("question"), None, F.col("known")).alias("jurisdictions")), "query")
 
 
-def audit_documents(triples: DataFrame, policies: DataFrame, gap_model: model.Model, jurisdictions: Sequence[str] = tuple(vocab.REGULATION_WEIGHTS)) -> dict[str, DataFrame]:
-    """Triples (document, pos, source, relation, target, regulation) and policy texts (document, context) to every table of an audit."""
-    obligations = audit.obligations_from(triples, F.array(*map(F.lit, jurisdictions)))
-    found, failed = model.gaps(obligations, policies, gap_model)
+def audit_documents(triples: DataFrame, policies: DataFrame, gap_model: model.Model, jurisdictions: Sequence[str] = tuple(vocab.REGULATION_WEIGHTS), remediation_model: model.Model | None = None, conflicts: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Triples (document, pos, source, relation, target, regulation) and policy texts (document, context) to every table of an audit.
+
+    ``remediation_model`` gives each theme group its recommendation, which reports list as a
+    checklist. ``conflicts`` are edges (src, rel, dst, description) of the graph: those whose ends
+    name audited regulations only are kept, and a document has those that name one of its own.
+    What the models said is cut, so that a model is asked once however many tables are read.
+    """
+    obligations = cut(audit.obligations_from(triples, F.array(*map(F.lit, jurisdictions))))
+    found, failed = (cut(x) for x in model.gaps(obligations, policies, gap_model))
     fallback = audit.fallback_gaps(obligations, failed)
     gaps = found.select("document", "obligation_id", "regulation", "status", "description", "severity", "theme", "ob_type").unionByName(fallback)
     risks = audit.regulation_risk(obligations, gaps)
     documents = audit.document_risk(risks)
     groups = audit.gap_groups(gaps)
-    return {"obligations": obligations, "gaps": gaps, "risks": risks, "documents": documents, "groups": groups, "overall": audit.audit_scores(risks, documents), "reports": audit.reports(risks, documents, groups, jurisdictions), "results": audit.results(groups, audit.obligation_counts(obligations), risks)}
+    if remediation_model is not None:
+        groups = audit.with_remediation(groups, cut(model.remediations(groups, remediation_model)))
+    own = None
+    if conflicts is not None:
+        own = audit.document_conflicts(audit.scoped_conflicts(conflicts, jurisdictions), obligations)
+    reports, results = audit.reports(risks, documents, groups, jurisdictions), audit.results(groups, audit.obligation_counts(obligations), risks, gaps, own)
+    out = {"obligations": obligations, "gaps": gaps, "risks": risks, "documents": documents, "groups": groups, "overall": audit.audit_scores(risks, documents), "with_findings": audit.with_findings(documents, gaps), "failed": failed, "reports": reports, "results": results}
+    return out if own is None else out | {"conflicts": own}

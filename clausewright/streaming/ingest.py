@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import chunking, model
+from ..operators.relational import exists, first_wins
 from ..sources import files
 
 
@@ -50,7 +51,20 @@ def ingest_files(spark: SparkSession, source: str, index: str, checkpoint: str,
     q.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def run_feed(spark: SparkSession, source: str, schema: str, sink: str, checkpoint: str) -> None:
-    """Audit runs as they are logged, appended to the history table."""
-    q = _new_rows(spark, source, schema, "parquet").writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
+def run_feed(spark: SparkSession, source: str, schema: str, sink: str, checkpoint: str, keys: Sequence[str] = ("run_id",), order: Sequence[str] = ("start_time",)) -> None:
+    """Audit runs as they are logged, once each, in the history table that ``audit.trends`` reads.
+
+    A run that comes again, in one batch or in a later one, is left out; the first by ``order`` of
+    a batch stays. Runs may come in any order and as late as they like, since a batch is compared with
+    the keys of the whole table and not with a window. A batch that is tried again writes its own
+    folder again. The table has a column ``batch`` more.
+    """
+
+    def step(batch: DataFrame, number: int) -> None:
+        rows = first_wins(batch, keys, [*order, F.xxhash64(*batch.columns)])
+        if exists(spark, sink):
+            known = spark.read.schema(f"{schema}, batch int").parquet(sink).where(F.col("batch") != number)
+            rows = rows.join(known.select(*keys).distinct(), list(keys), "left_anti")
+        rows.write.mode("overwrite").parquet(f"{sink}/batch={number}")
+
+    incremental(spark, source, schema, step, checkpoint)

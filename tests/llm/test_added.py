@@ -1,5 +1,6 @@
 """Hard negatives, whitening and language-model scores against plain versions."""
 
+import hashlib
 import math
 import random
 import zlib
@@ -283,6 +284,30 @@ def test_context_of_more_than_a_part(spark):
     assert r["formatted_chars"] == sum(len(chat_format.format_turn(x, t)[0]) for _, _, x, t in rows) and r["n_examples"] == 1
 
 
+@pytest.mark.parametrize("most", [1, 100, 1 << 20])
+def test_every_example_is_written_with_its_prefix(spark, most):
+    rows = [(c, t, "assistant" if t % 3 == 1 else "user", f"é<|im_end|>日{t} " * (t % 4)) for c in (1, 2, None) for t in range(30)]
+    parts = chat_format.expand(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"), part_chars=most).collect()
+    for c in (1, 2, None):
+        shown = [chat_format.format_turn(r, x)[0] for k, _, r, x in rows if k == c]
+        own = [r for r in parts if r["conv_id"] == c]
+        for n in range(10):  # prefix and target of each example, in order
+            got = [r for r in own if r["example"] == n]
+            assert [r["part"] for r in got] == list(range(len(got))) and "".join(r["text"] for r in got) == "".join(shown[: 3 * n + 2])
+            assert {(r["loss_start"], r["loss_end"]) for r in got} == {(len("".join(shown[: 3 * n + 2])) - len(chat_format.CLOSE) - 1 - len(chat_format.escape(rows[3 * n + 1][3])), len("".join(shown[: 3 * n + 2])) - len(chat_format.CLOSE) - 1)}
+        assert "".join(r["text"] for r in own if r["example"] is None) == shown[-1]
+        assert all(len(r["text"]) <= most + max(map(len, shown)) for r in own)
+    for r in chat_format.digests(spark.createDataFrame(parts, "conv_id long, part long, example long, prefix_chars long, text string, loss_start long, loss_end long").coalesce(1)).collect():
+        assert r["turns_sha256"] == hashlib.sha256("".join(f"{x}\n{y}\n" for _, _, x, y in rows[:30]).encode()).hexdigest() and r["n_turns"] == 30
+
+
+def test_digests_read_the_examples(spark):
+    rows = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (1, 2, "user", "c"), (1, 3, "assistant", "d")]
+    parts = chat_format.expand(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"))
+    r = chat_format.digests(parts.where("example = 1").withColumn("text", F.regexp_replace("text", "\na<", "\nlonger<")).withColumns({x: F.col(x) + 5 for x in ("loss_start", "loss_end")})).head()
+    assert r["formatted_chars"] == sum(len(chat_format.format_turn(x, t)[0]) for _, _, x, t in rows) + 5 and (r["n_turns"], r["loss_chars"]) == (4, 1)
+
+
 def test_a_cluster_has_to_name_its_shared_folder():
     class Conf:
         def get(self, key, default):

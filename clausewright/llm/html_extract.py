@@ -39,9 +39,11 @@ Defined results: null and empty html give an empty text; a page whose url has no
 aligned with its like; repeated rows give repeated rows; unclosed elements end with what
 holds them, and a tag that never ends takes the rest of the page, as in a browser; depth and
 length have no bound, and reading takes time in proportion to length; an empty table gives
-an empty table; other columns are ignored. Rows of children whose numbers multiply to more
-than ``PAIRS``, and matches that took more than ``WORK`` steps, are matched in one pass, each
-child with the next one of its kind. Results depend on neither order nor partitioning.
+an empty table; other columns are ignored. Every match is the largest, whatever the size of
+the trees: rows of children whose numbers multiply to more than ``PAIRS``, or their nodes to more
+than ``WORK``, are aligned as arrays, with the same match. The time of a match grows with the pairs
+of nodes of one depth, where the trees differ. Results depend on neither
+order nor partitioning.
 """
 
 from __future__ import annotations
@@ -50,8 +52,8 @@ import html
 import json
 import re
 import zlib
-from bisect import bisect_left
 from collections.abc import Iterable, Iterator
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -62,8 +64,10 @@ from .spark_io import written
 from .url_filter import host
 
 PAGES = 8
+#: Above the first two, matches are computed with arrays, and scores of subtrees above the third are kept; no result depends on them.
 PAIRS = 40_000
 WORK = 2_000_000
+LARGE = 1000
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -295,34 +299,123 @@ def texts(doc: Page, nodes: list[list[int]]) -> Iterator[tuple[int, int, int, in
                 yield k, place, zlib.crc32(text.encode("utf-8", "surrogatepass")), len(text) - links, links
 
 
-def _in_one_pass(a: list[int], b: list[int], x: Shape, y: Shape) -> list[tuple[int, int]]:
-    """Each child with the next one of its kind, else of its name, else of its tag."""
-    where: dict = {}
-    for j, k in enumerate(b):
-        for key in (y.kind[k], y.name[k], (y.tag[k],)):
-            where.setdefault(key, []).append(j)
-    pairs, at = [], 0
-    for i, k in enumerate(a):
-        for key in (x.kind[k], x.name[k], (x.tag[k],)):
-            own = where.get(key, ())
-            if (p := bisect_left(own, at)) < len(own):
-                pairs.append((i, own[p]))
-                at = own[p] + 1
-                break
-    return pairs
+class Levels:
+    """The forest of the nodes ``top`` of ``y`` level by level, to be matched with one node of ``x`` after the other.
+
+    A score counts ``unit`` for a pair of nodes and one more where their names are equal.
+    """
+
+    def __init__(self, x: Shape, y: Shape, top: list[int], unit: int, saved: dict):
+        """``saved``: for large nodes of ``x``, their scores with a level, and the places of its nodes; for all forests of one match."""
+        self.x, self.y, self.unit, self.most, self.saved = x, y, unit, (unit + 1) * unit, saved
+        self.tags, self.names = {}, {}  # numbers of the words of ``y``
+        self.nodes, self.levels, self.held = [top], [], {}
+
+    def level(self, depth: int) -> tuple:
+        while len(self.levels) <= depth:
+            y, top = self.y, self.nodes[-1]
+            tags = np.array([self.tags.setdefault(y.tag[j], len(self.tags)) for j in top])
+            names = np.array([self.names.setdefault(y.name[j], len(self.names)) for j in top])
+            n = np.array([len(y.kids[j]) for j in top])
+            ends, filled = np.cumsum(n), np.flatnonzero(n)
+            self.levels.append((tags, set(tags.tolist()), names, filled, ends[filled] - 1, (ends - n)[filled], np.repeat(np.arange(len(top)) * self.most, n), {j: p for p, j in enumerate(top)}))
+            self.nodes.append([m for j in top for m in y.kids[j]])
+        return self.levels[depth]
+
+    def scores(self, node: int) -> np.ndarray:
+        """The score of ``node`` of ``x`` with every node of the first level."""
+        if (known := self.held.get(self.x.kind[node])) is not None:
+            return known
+        if node in self.saved:
+            (place, scores), top = self.saved[node], self.nodes[0]
+            at, end = place.get(top[0], -1), place.get(top[-1], -1) + 1
+            if at >= 0 and end - at == len(top):  # a level's nodes stand in order, so these are all of them
+                return scores[at:end]
+            del self.saved[node]  # of another forest
+        x, done = self.x, None
+        # the open nodes: [node, number of its kids that are done, best scores of those with the kids of each node of the level up to the one at hand]
+        stack: list[list] = [[node, 0, None]]
+        while stack:
+            i, n, best = top = stack[-1]
+            tags, there, names, filled, last, first, apart_by, place = self.level(len(stack) - 1)
+            tag = self.tags.get(x.tag[i])
+            if n and done is not None:
+                moved = np.empty_like(best)
+                moved[1:], moved[first] = best[:-1], 0
+                moved += done
+                np.maximum(moved, best, out=moved)
+                moved += apart_by  # so that each node's kids are above those of the nodes before
+                np.maximum.accumulate(moved, out=moved)
+                moved -= apart_by
+                top[2] = best = moved
+            if tag in there and len(filled) and n < len(x.kids[i]):
+                if n == 0:
+                    top[2] = np.zeros(len(apart_by), np.int64)
+                top[1] += 1
+                stack.append([x.kids[i][n], 0, None])
+                continue
+            if tag in there:
+                done = np.full(len(tags), self.unit, np.int64)
+                done[names == self.names.get(x.name[i], -1)] += 1
+                if best is not None:
+                    done[filled] += best[last]
+                done[tags != tag] = 0
+                if x.size[i] > LARGE:
+                    self.saved.setdefault(i, (place, done))
+            else:
+                done = None
+            stack.pop()
+        out = np.zeros(len(self.nodes[0]), np.int64) if done is None else done
+        if len(self.held) < 64:
+            self.held[x.kind[node]] = out
+        return out
+
+    def align(self, row: list[int]) -> tuple[int, list[tuple[int, int]]]:
+        """The largest order-keeping match of ``row`` with the first level: its score and its pairs of places, last first.
+
+        Every ``step``-th line of the table of best scores is kept; the lines between are computed again on the way back.
+        """
+
+        def line(best: np.ndarray, node: int) -> np.ndarray:
+            new = best.copy()
+            np.maximum(new[1:], best[:-1] + self.scores(node)[: len(best) - 1], out=new[1:])
+            return np.maximum.accumulate(new, out=new)
+
+        best = np.zeros(len(self.nodes[0]) + 1, np.int64)
+        step, kept = isqrt(len(row)) + 1, []
+        for p, node in enumerate(row):
+            if p % step == 0:
+                kept.append(best)
+            best = line(best, node)
+        total, pairs, q = int(best[-1]), [], len(best) - 1
+        for start in range(len(kept) - 1, -1, -1):
+            lines = [kept.pop()[: q + 1]]
+            for node in row[start * step : (start + 1) * step]:
+                lines.append(line(lines[-1], node))
+            p = len(lines) - 1
+            while p and q:
+                if lines[p][q] == lines[p - 1][q]:
+                    p -= 1
+                elif lines[p][q] == lines[p][q - 1]:
+                    q -= 1
+                else:
+                    p, q = p - 1, q - 1
+                    pairs.append((start * step + p, q))
+        return total, pairs
 
 
 def matching(x: Shape, y: Shape) -> tuple[int, dict[int, int]]:
     """Simple tree matching: the number of nodes in the largest order-keeping match of two trees, and the match.
 
     Nodes match by tag. Among matches of one size, those with more equal names win: a pair
-    counts 1, and a thousandth more where the names are equal.
+    counts one more than there can be pairs, and one more where the names are equal.
     """
-    score: dict[tuple[int, int], float] = {}
-    spent = 0
+    unit = min(len(x.name), len(y.name)) + 1
+    score: dict[tuple[int, int], int] = {}
+    saved: dict[int, tuple[dict, np.ndarray]] = {}
 
-    def base(i: int, j: int) -> float:
-        return 1.001 if x.name[i] == y.name[j] else 1.0
+    def base(i: int, j: int) -> int:
+        return unit + (x.name[i] == y.name[j])
 
     def middle(i: int, j: int) -> tuple[list[int], list[int], int, int]:
         """The children without those at either end that are equal."""
@@ -334,56 +427,57 @@ def matching(x: Shape, y: Shape) -> tuple[int, dict[int, int]]:
             hi += 1
         return a[lo : len(a) - hi], b[lo : len(b) - hi], lo, hi
 
-    def value(i: int, j: int) -> float | None:
+    def value(i: int, j: int) -> int | None:
         if x.tag[i] != y.tag[j]:
-            return 0.0
+            return 0
         if x.kind[i] == y.kind[j]:
-            return 1.001 * x.size[i]
+            return (unit + 1) * x.size[i]
         if not x.kids[i] or not y.kids[j]:
             return base(i, j)
-        return score.get((i, j))
+        return score.get((x.kind[i], y.kind[j]))
+
+    def large(a: list[int], b: list[int]) -> bool:
+        return len(a) * len(b) > PAIRS or sum(x.size[k] for k in a) * sum(y.size[m] for m in b) > WORK
 
-    def rows(i: int, j: int) -> tuple[float, list[tuple[int, int]]]:
-        nonlocal spent
+    def rows(i: int, j: int) -> tuple[int, list[tuple[int, int]]]:
         a, b, lo, hi = middle(i, j)
         ends = [(p, p) for p in range(lo)] + [(len(x.kids[i]) - 1 - p, len(y.kids[j]) - 1 - p) for p in range(hi)]
-        total = sum(1.001 * x.size[x.kids[i][p]] for p, _ in ends)
-        spent += len(a) * len(b)
-        if len(a) * len(b) > PAIRS or spent > WORK:
-            pairs = _in_one_pass(a, b, x, y)
-            total += sum(value(a[p], b[q]) or min(x.size[a[p]], y.size[b[q]]) for p, q in pairs)
-        else:
-            best = [[0.0] * (len(b) + 1) for _ in range(len(a) + 1)]
-            for p, k in enumerate(a):
-                for q, m in enumerate(b):
-                    best[p + 1][q + 1] = max(best[p][q + 1], best[p + 1][q], best[p][q] + value(k, m))
-            pairs, p, q = [], len(a), len(b)
-            while p and q:
-                if best[p][q] == best[p - 1][q]:
-                    p -= 1
-                elif best[p][q] == best[p][q - 1]:
-                    q -= 1
-                else:
-                    p, q = p - 1, q - 1
-                    pairs.append((p, q))
-            total += best[-1][-1]
-        return total, ends + [(lo + p, lo + q) for p, q in pairs]
+        total = sum((unit + 1) * x.size[x.kids[i][p]] for p, _ in ends)
+        if not a or not b:
+            return total, ends
+        if large(a, b):
+            best, pairs = Levels(x, y, b, unit, saved).align(a)
+            return total + best, ends + [(lo + p, lo + q) for p, q in pairs]
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for p, k in enumerate(a):
+            for q, m in enumerate(b):
+                best[p + 1][q + 1] = max(best[p][q + 1], best[p + 1][q], best[p][q] + value(k, m))
+        pairs, p, q = [], len(a), len(b)
+        while p and q:
+            if best[p][q] == best[p - 1][q]:
+                p -= 1
+            elif best[p][q] == best[p][q - 1]:
+                q -= 1
+            else:
+                p, q = p - 1, q - 1
+                pairs.append((p, q))
+        return total + best[-1][-1], ends + [(lo + p, lo + q) for p, q in pairs]
 
-    if x.tag[0] != y.tag[0]:
-        return 0, {}
-    todo = [(0, 0)]
-    while todo:
-        i, j = todo[-1]
-        if value(i, j) is None:
-            a, b, _, _ = middle(i, j)
-            if len(a) * len(b) <= PAIRS and spent <= WORK:
-                need = [(k, m) for k in a for m in b if value(k, m) is None]
-                spent += len(a) * len(b)
-                if need:
+    def fill(i: int, j: int) -> None:
+        """The scores that ``rows`` of the two nodes needs."""
+        todo = [(i, j)]
+        while todo:
+            i, j = todo[-1]
+            if value(i, j) is None:
+                a, b, _, _ = middle(i, j)
+                if not large(a, b) and (need := [(k, m) for k in a for m in b if value(k, m) is None]):
                     todo += need
                     continue
-            score[i, j] = base(i, j) + rows(i, j)[0]
-        todo.pop()
+                score[x.kind[i], y.kind[j]] = base(i, j) + rows(i, j)[0]
+            todo.pop()
+
+    if x.tag[0] != y.tag[0]:
+        return 0, {}
     found, todo = {}, [(0, 0)]
     while todo:
         i, j = todo.pop()
@@ -391,6 +485,8 @@ def matching(x: Shape, y: Shape) -> tuple[int, dict[int, int]]:
         if x.kind[i] == y.kind[j]:
             todo += zip(x.kids[i], y.kids[j], strict=True)
         elif x.kids[i] and y.kids[j]:
+            if not large(*middle(i, j)[:2]):
+                fill(i, j)
             todo += [(x.kids[i][p], y.kids[j][q]) for p, q in rows(i, j)[1] if x.tag[x.kids[i][p]] == y.tag[y.kids[j][q]]]
     return len(found), found
 

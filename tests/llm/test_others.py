@@ -304,6 +304,40 @@ def test_matching_is_the_largest():
         assert len(set(found.values())) == n and all(found[parent[0][i]] == parent[1][j] for i, j in found.items() if i)
 
 
+def row_of(rng, n):
+    return [rng.choice(["p", "h2", "ul(li,li.x)", "div.a(p)", "div.b(p,ul(li.x))", f"div.c{rng.randrange(9)}(p)", f"ul.d(li.e{rng.randrange(99)}(b),li)"]) for _ in range(n)]
+
+
+@pytest.mark.parametrize(("bound", "most"), [("PAIRS", 0), ("PAIRS", 3), ("WORK", 0), ("WORK", 60)])
+def test_matches_do_not_depend_on_the_bounds(monkeypatch, bound, most):
+    rng, known = random.Random(16), {}
+    trees = [[f"r({random_shape(rng, 5)},{random_shape(rng)})" for _ in range(2)] for _ in range(300)]
+    trees += [[f"r({','.join(row_of(rng, 40))})" for _ in range(2)] for _ in range(20)]
+    trees += [["d(a,b," * 2000 + "c" + ")" * 2000, "d(b,a,c," * 2000 + "c" + ")" * 2000]]
+    shapes = [[html_extract.Shape(t, known) for t in pair] for pair in trees]
+    want = [html_extract.matching(x, y) for x, y in shapes]
+    monkeypatch.setattr(html_extract, "LARGE", 2, raising=False)
+    monkeypatch.setattr(html_extract, bound, most)
+    assert [html_extract.matching(x, y) for x, y in shapes] == want
+
+
+@pytest.mark.parametrize("n", [30, 300])
+def test_matching_of_long_rows_is_the_largest(n):
+    rng, known = random.Random(n), {}
+    x, y = (html_extract.Shape(f"r({','.join(row_of(rng, n))})", known) for _ in range(2))
+    got, found = html_extract.matching(x, y)
+    assert got == len(found) == plain_matching(x, y)
+    parent = [{k: i for i, kids in enumerate(t.kids) for k in kids} for t in (x, y)]
+    at = [(i, found[i]) for i in x.kids[0] if i in found]
+    assert all(parent[1][j] == found[parent[0][i]] and x.tag[i] == y.tag[j] for i, j in found.items() if i) and at == sorted(at, key=lambda p: p[1])
+
+
+def test_equal_names_never_cost_a_pair():
+    many = lambda word, n: ",".join([word] * n)
+    x, y = (html_extract.Shape(t, known) for known in [{}] for t in (f"r({many('p.a', 1102)},{many('q.c', 1101)})", f"r({many('q.c', 1101)},{many('p.b', 1102)})"))
+    assert html_extract.matching(x, y)[0] == 1103
+
+
 def test_matching_beyond_the_bounds(monkeypatch):
     known = {}
     x, y = html_extract.Shape("r(a,b(c),a,b)", known), html_extract.Shape("r(b(d),a,b(c),e,b)", known)

@@ -12,11 +12,11 @@ from .. import vocab
 from ..functions import text as T
 
 
-def _words(c: Column) -> Column:
-    return F.filter(F.split(F.coalesce(c, F.lit("")), r"(?U)\s+"), lambda w: w != "")
+def words(c: Column, space: str = r"(?U)\s+") -> Column:
+    return F.filter(F.split(F.coalesce(c, F.lit("")), space), lambda w: w != "")
 
 
-def token_chunks(docs: DataFrame, text_col: str = "text", size: int = 512, overlap: int = 100, tokens: Callable[[Column], Column] = _words) -> DataFrame:
+def token_chunks(docs: DataFrame, text_col: str = "text", size: int = 512, overlap: int = 100, tokens: Callable[[Column], Column] = words) -> DataFrame:
     """Windows of ``size`` tokens that overlap by ``overlap`` and end with the text: chunk_index and chunk_text are added.
 
     The tokenizer is a column function that gives an array; by default tokens are words.
@@ -43,7 +43,7 @@ def size_chunks(docs: DataFrame, text_col: str = "text", size: int = 2000) -> Da
         full = chars >= size
         return F.struct(F.when(full, F.concat(acc["ends"], F.array(at))).otherwise(acc["ends"]).alias("ends"), at.alias("at"), F.when(full, 0).otherwise(chars).alias("chars"))
 
-    cut = docs.withColumn("__w", _words(F.col(text_col)))
+    cut = docs.withColumn("__w", words(F.col(text_col)))
     # the words behind the last full chunk are a chunk of their own
     cut = cut.withColumn("__ends", F.aggregate(F.transform("__w", F.length), empty, add, lambda acc: F.when(acc["chars"] > 0, F.concat(acc["ends"], F.array(acc["at"]))).otherwise(acc["ends"])))
     starts = F.transform("__ends", lambda e, i: F.when(i == 0, 0).otherwise(F.get("__ends", i - 1)))

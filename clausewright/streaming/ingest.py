@@ -22,12 +22,12 @@ def incremental(spark: SparkSession, source: str, schema: str, step: Callable[[D
     q.awaitTermination()
 
 
-def ingest_texts(spark: SparkSession, source: str, index: str, checkpoint: str, size: int = 512, overlap: int = 100, embed: Callable[[Column], Column] | None = None, embedder: str = "hash-64") -> None:
+def ingest_texts(spark: SparkSession, source: str, index: str, checkpoint: str, size: int = 512, overlap: int = 100, embed: Callable[[Column], Column] | None = None, embedder: str = "hash-64", tokens: Callable[[Column], Column] = chunking.words) -> None:
     """New (file_name, regulation, doc_type, text) rows to token chunks in the index, with vectors where ``embed`` is given."""
     embedded = lambda rows: model.embedded(rows, embed, f"{index}_vectors", embedder) if embed else rows
 
     def step(batch: DataFrame, _: int) -> None:
-        cut = chunking.token_chunks(batch, "text", size, overlap).withColumn("page", F.lit(0))
+        cut = chunking.token_chunks(batch, "text", size, overlap, tokens).withColumn("page", F.lit(0))
         files.upsert(embedded(files.chunk_rows(cut, "token")), index, batch.select(F.col("file_name").alias("paper_id")))
 
     incremental(spark, source, "file_name string, regulation string, doc_type string, text string", step, checkpoint)

@@ -22,3 +22,41 @@ def test_ingest_gives_every_document(spark, tmp_path):
     texts = [(0, "a b", "s"), (1, "", "s"), (2, None, "s"), (3, " \n ", "s"), (4, long, "s"), (4, long, "s"), (4, "short", "s"), (4, None, "s"), (5, "a b " * 500, "s"), (6, "x", None)]
     docs = spark.createDataFrame([(i, t, lang, s) for i, t, s in texts for lang in ("en", None)], "doc_id long, text string, lang string, source string")
     same_as_sql(spark, "incremental_ingest", tmp_path, {"documents": docs})
+
+
+def test_neighbours_tie_by_id_in_the_doubles_of_the_sql(spark, tmp_path):
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((300, 7)).astype(np.float32)
+    rows = [(i + 1000 * c, v.tolist()) for i, v in enumerate(x) for c in range(1 + 25 * (i % 60 == 0))]
+    # the same direction at another length: equal as numbers, apart or equal in doubles as the SQL says
+    rows += [(50_000 + i, (v * np.float32(s)).tolist()) for i, v in enumerate(x[:120]) for s in (3.0,)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5)
+    same_as_sql(spark, "knn", tmp_path, {"embeddings": vectors})
+
+
+def test_neighbours_in_small_blocks(spark, monkeypatch):
+    import numpy as np
+
+    from clausewright.operators import search
+
+    rng = np.random.default_rng(7)
+    x = np.concatenate([rng.standard_normal((200, 5)), np.ones((60, 5)), [[np.nan, 1, 1, 1, 1]]])
+    df = spark.createDataFrame([(f"v{i:03}", v.tolist()) for i, v in enumerate(x)] + [("short", [1.0, 2.0]), ("none", None), ("zero", [0.0] * 5)], "id string, v array<double>")
+    inner = search._nearest_in
+    monkeypatch.setattr(search, "_nearest_in", lambda s, q, k: inner(s, q, k, some=7, rows=13, pairs=11))
+    got = {}
+    for r in search.nearest(df, df, "id", "id", "v", 6, most_queries=50).orderBy("query", "rank").collect():
+        got.setdefault(r["query"], []).append(r["doc"])
+    assert got["short"] == ["short"] and "none" not in got and "zero" not in got
+    unit = x[:260] / np.linalg.norm(x[:260], axis=1, keepdims=True)
+    for i in range(200, 260):
+        assert got[f"v{i:03}"] == ["v260", *(f"v{j:03}" for j in range(200, 205))]
+    for i in range(200):
+        assert got[f"v{i:03}"][1] == f"v{i:03}" and set(got[f"v{i:03}"][1:]) <= {f"v{j:03}" for j in np.argsort(-(unit @ unit[i]))[:70]}
+
+
+def test_neighbours_are_met_in_blocks_and_not_pair_by_pair(spark, tiny):
+    plan = QUERIES["knn"](spark, tiny)._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan

@@ -45,7 +45,7 @@ def test_neighbours_in_small_blocks(spark, monkeypatch):
     x = np.concatenate([rng.standard_normal((200, 5)), np.ones((60, 5)), [[np.nan, 1, 1, 1, 1]]])
     df = spark.createDataFrame([(f"v{i:03}", v.tolist()) for i, v in enumerate(x)] + [("short", [1.0, 2.0]), ("none", None), ("zero", [0.0] * 5)], "id string, v array<double>")
     inner = search._nearest_in
-    monkeypatch.setattr(search, "_nearest_in", lambda s, q, k: inner(s, q, k, some=7, rows=13, pairs=11))
+    monkeypatch.setattr(search, "_nearest_in", lambda s, q, k, digits: inner(s, q, k, digits, some=7, rows=13, pairs=11))
     got = {}
     for r in search.nearest(df, df, "id", "id", "v", 6, most_queries=50).orderBy("query", "rank").collect():
         got.setdefault(r["query"], []).append(r["doc"])
@@ -60,3 +60,32 @@ def test_neighbours_in_small_blocks(spark, monkeypatch):
 def test_neighbours_are_met_in_blocks_and_not_pair_by_pair(spark, tiny):
     plan = QUERIES["knn"](spark, tiny)._jdf.queryExecution().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_hybrid_keeps_the_first_of_what_ties(spark, tmp_path):
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    words, x = [f"w{i}" for i in range(40)], rng.standard_normal((30, 6)).astype(np.float32)
+    rows = [(i, "en" if i % 3 else "de", " ".join(rng.choice(words, 5 + i % 30)) if i % 11 else (None, "", "w1 w1")[i % 3]) for i in range(60)]
+    # texts and directions that come again, under later and under earlier ids
+    rows = [(i + 60 * c, lang, t) for i, lang, t in rows for c in range(5)]
+    docs = spark.createDataFrame([(i, t, lang, "s") for i, lang, t in rows], "doc_id long, text string, lang string, source string").repartition(5)
+    vectors = spark.createDataFrame([(i, (x[i % 30] * np.float32(1 + i % 7)).tolist()) for i, _, _ in rows], "vec_id long, embedding array<float>").repartition(3)
+    asked = docs.na.fill("").where("doc_id % 9 = 0").selectExpr("doc_id as item_id", "text")
+    same_as_sql(spark, "hybrid_filtered", tmp_path, {"documents": docs, "embeddings": vectors})
+    docs = docs.na.fill("")  # the SQL of this one leaves null texts out of the mean length
+    same_as_sql(spark, "hybrid_rrf", tmp_path / "filled", {"documents": docs, "embeddings": vectors, "benchmark": asked})
+
+
+def test_keyword_scores_meet_in_blocks(spark, tiny):
+    from clausewright.operators import search
+    from clausewright.queries import views
+
+    docs = views.table(spark, tiny, "documents")
+    asked = docs.where("doc_id % 7 = 0")
+    best = search.bm25_best(docs, asked, "doc_id", "doc_id", 9, most_queries=11)
+    assert not any(x in best._jdf.queryExecution().toString() for x in ("SortMergeJoin", "Generate", "NestedLoop"))
+    want = search.ranked(search.bm25(docs, asked, "doc_id", "doc_id").selectExpr("query", "doc", "round(score, 9) as score"), 9)
+    show = lambda df: sorted((r["query"], r["rank"], r["doc"], round(r["score"], 6)) for r in df.collect())
+    assert show(best) == show(want)

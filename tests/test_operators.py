@@ -268,6 +268,19 @@ def test_betweenness_without_error_takes_every_source(spark):
     assert [r["betweenness"] for r in graph.betweenness(df.limit(1)).collect()] == [0.0, 0.0]
 
 
+def test_betweenness_sends_a_row_for_each_node_and_not_for_each_source(spark, monkeypatch):
+    from clausewright.operators import brandes
+
+    monkeypatch.setattr(brandes, "CELLS", 500)  # groups of sources
+    monkeypatch.setattr(brandes, "EDGES", 16)
+    rows, written = [], brandes.written
+    monkeypatch.setattr(brandes, "written", lambda df: (out := written(df), "d" in df.columns and rows.append(out.count()))[0])
+    e, df = random_graph(spark, 40, 70, seed=5)
+    want = plain_betweenness(e)
+    assert {r["node"]: r["betweenness"] for r in graph.betweenness(df).collect()} == pytest.approx({f"n{v}": x for v, x in want.items()})
+    assert rows and set(rows) == {len(want)}
+
+
 def test_pagerank_converges(spark):
     e, df = random_graph(spark)
     nodes = sorted({x for p in e for x in p})

@@ -213,6 +213,16 @@ def test_communities_of_two_cliques(spark):
     assert graph.modularity(df, got) == pytest.approx(2 * (10 / 21 - (21 / 42) ** 2), abs=1e-6)
 
 
+def test_communities_leave_one_table(spark, tmp_path, monkeypatch):
+    from clausewright.operators import iterate
+
+    monkeypatch.setattr(iterate, "shared_folder", lambda _: str(tmp_path))
+    _, df = random_graph(spark)
+    got = graph.communities(df)
+    assert len([x for x in tmp_path.iterdir() if x.name.startswith("table-")]) == 1
+    assert got.count() == graph.undirected(df).select("a").distinct().count()
+
+
 def test_betweenness_of_a_long_path(spark):
     n = 16
     df = spark.createDataFrame([(f"n{i:02}", f"n{i + 1:02}") for i in range(n - 1)], "src string, dst string")
